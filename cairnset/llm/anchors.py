@@ -6,6 +6,8 @@ import numpy as np
 
 _TABLE = np.random.default_rng(77).integers(0, 2**64, 256, np.uint64)
 _ODD = [np.uint64(x | 1) for x in np.random.default_rng(78).integers(0, 2**63, 8)]
+#: Bytes hashed at a time: positions in a piece fit 16 bits, and the arrays stay in a CPU's cache.
+PIECE = 1 << 15
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -30,21 +32,26 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - n)], x[w - n :]) if w > n else x
 
 
-def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes): in each run of `length` bytes, the first of its k-byte runs with the least hash."""
-    if len(data) < length:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes): in each run of `length` bytes of one text, the first of its k-byte runs with the least hash.
+
+    data: the bytes of several texts, which stand one after another and end at `ends`.
+    """
+    h = gram_hashes(data, k) if len(data) >= length else np.zeros(0, np.uint64)
+    inside = np.ones(max(0, len(data) - length + 1), bool)  # runs that lie in one text
+    if len(inside):
+        cross = (ends[:, None] - np.arange(1, length)).ravel()
+        inside[cross[(cross >= 0) & (cross < len(inside))]] = False
+    w, found = length - k + 1, []
+    for at in range(0, len(inside), PIECE):
+        part = h[at : at + PIECE + w - 1]
+        # the least of (hash, position) by one sliding minimum
+        packed = (part & ~np.uint64(0xFFFF)) | np.arange(len(part), dtype=np.uint64)
+        least = sliding_min(packed, w)[inside[at : at + PIECE]]
+        if len(least):
+            first = (least & np.uint64(0xFFFF)).astype(np.int64)
+            found.append(first[np.flatnonzero(np.diff(first, prepend=-1))] + at)
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(data, k)
-    w = length - k + 1
-    # the least of (hash, position) by one sliding minimum: positions modulo 2^8 order a window once it is unrolled
-    at = np.arange(len(h), dtype=np.uint64)
-    out = []
-    for parity in (np.uint64(0), np.uint64(128)):
-        packed = (h & ~np.uint64(255)) | ((at + parity) & np.uint64(255))
-        m = sliding_min(packed, w)
-        starts = np.arange(len(m), dtype=np.uint64)
-        good = ((starts + parity) & np.uint64(255)) < np.uint64(256 - w)  # no wrap inside this window
-        s = starts[good]
-        out.append(s + (((m[good] & np.uint64(255)) - (s + parity)) & np.uint64(255)))
-    found = np.unique(np.concatenate(out)).astype(np.int64)
-    return found, h[found]
+    positions = np.unique(np.concatenate(found))
+    return positions, h[positions]
