@@ -1 +1,29 @@
 """A Spark-native engine for versioned, schema-checked machine-learning datasets."""
+
+from .codecs import BytesCodec, Codec, NumpyCodec
+from .config import Config, Store
+from .errors import DatasetError, SchemaError
+from .layout import DatasetDefinition, DatasetID, Layout, Split
+from .plans.persist import from_rdd, from_rows, persist
+from .plans.staging import StagingWriter, commit, jobs, scan_sorted, stage
+from .schema import (
+    ArrayField,
+    BoolField,
+    BytesField,
+    DatasetSchema,
+    DoubleField,
+    Field,
+    FloatField,
+    IntField,
+    LongField,
+    NumpyField,
+    ObjectField,
+    RecordField,
+    StringField,
+    dumps,
+    loads,
+)
+from .sources.dataset import Dataset, build_dataset
+from .streaming.staging import stage_stream
+
+__all__ = [name for name in dir() if not name.startswith("_")]
