@@ -29,15 +29,22 @@ def _bad(f: Field, value: Column, path: str) -> list[tuple[str, Column]]:
         for g in f.fields:
             out += [(p, value.isNotNull() & c) for p, c in _bad(g, value[g.name], f"{path}.{g.name}")]
     elif f.kind == "array":
-        for p, _ in _bad(f.element, F.lit(None), f"{path}.elem"):
-            # the condition is built anew for the lambda's variable
-            def below(x: Column, p: str = p) -> Column:
-                return dict(_bad(f.element, x, f"{path}.elem"))[p]
-
-            out.append((p, F.coalesce(F.exists(value, below), F.lit(False))))
+        for i, p in enumerate(_paths(f.element, f"{path}.elem")):
+            out.append((p, F.coalesce(F.exists(value, _nth(f.element, i)), F.lit(False))))
     return out
 
 
+def _paths(f: Field, path: str) -> list[str]:
+    """The paths of _bad(), in its order."""
+    below = [x for g in f.fields for x in _paths(g, f"{path}.{g.name}")] if f.kind == "record" else _paths(f.element, f"{path}.elem") if f.kind == "array" else []
+    return [path] * f.required + below
+
+
+def _nth(f: Field, i: int):
+    """The i-th condition as a function of an array's element."""
+    return lambda x: _bad(f, x, "")[i][1]
+
+
 def violations(df: DataFrame, schema: DatasetSchema) -> DataFrame:
     """(path, nulls) for each place where the schema forbids null, counted in one pass."""
     places = [x for f in schema.fields for x in _bad(f, F.col(f.name), f.name)]

@@ -86,7 +86,7 @@ class Dataset:
         from ..plans.scratch import Scratch
 
         ordered = self.index() if self.filter is None else self.index().where(self.filter)
-        numbered = with_position(ordered.withColumn("_split", F.lit(0)), "_split", list(self.full_schema.primary_keys), Scratch(self.spark, "positions"), INDEX)
+        numbered = with_position(ordered.withColumn("_all", F.lit(0)), "_all", list(self.full_schema.primary_keys), Scratch(self.spark, "positions"), INDEX)
         return numbered.select(INDEX, *self.columns)
 
     def slice(self, start: int, stop: int) -> DataFrame:
