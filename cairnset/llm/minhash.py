@@ -9,7 +9,8 @@ Parameters: 32 bands of 5 samples miss a pair of similarity 0.8 with probability
 MAX_POP lets through estimates down to 0.62, five standard deviations below 0.8.
 
 Defined cases: a text without words, and a null text, has an empty set and links with nothing. Equal sets
-link. Rows that share a doc_id are one node with the links of all of them, and each row is returned.
+link. Rows that share a doc_id are one node with the links of all of them, and each row is returned (one without
+words with its doc_id as component).
 Rows without doc_id link with nothing (component_id null, kept true). Other columns are not read.
 """
 
@@ -212,7 +213,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n_words: int = 5, percent
     sets = sets.where("octet_length(shingles) > 0")
     sizes = sets.groupBy("group").agg(F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / SET_CHUNK), chunks_of(F.count("*"))).alias("chunks"))
     links = cells(spread_join(sets, sizes, "group"), "group", "chunks").groupBy("group", "i", "j").applyInPandas(_similar_sets(percent), "a long, b long")
-    found = components(scratch, links)
+    # sets of one doc_id are one node, which has the links of all
+    keyed = signed.where("k1 is not null and doc_id is not null").select("doc_id", "k1", "k2")
+    several = keyed.groupBy("doc_id").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("doc_id")
+    own = spread_join(keyed, several, "doc_id").distinct().join(one.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", F.col("rep").alias("a"))
+    own = spread_join(own, own.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b")
+    found = components(scratch, links.unionByName(own))
     classes = scratch.save(
         one.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "classes"
     )

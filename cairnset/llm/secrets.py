@@ -2,8 +2,8 @@
 
 Base kinds are found by their patterns. Other long tokens are put to a battery of randomness tests: the encoding is
 inferred (hex, base32 or base64), which gives the alphabet; a chi-squared test of uniformity against
-ordinary, skewed use of the alphabet gives a p-value that takes the length into account; the runs test and the serial
-correlation must not contradict randomness. Benjamini and Hochberg's rule on all tokens' p-values, from
+ordinary, skewed use of the alphabet gives a p-value that takes the length into account; the runs test, the serial
+correlation and, where letters of both cases occur, the share of small ones must not contradict randomness. Benjamini and Hochberg's rule on all tokens' p-values, from
 a histogram of at most BINS bins, says which are secrets.
 
 Where matches stand: split() by the pattern gives the texts between them, so their lengths and those of the
@@ -142,7 +142,11 @@ def _battery(text: Column, alphabet: str, skew: float) -> Column:
         serial = (s["sxy"] / F.greatest(n - 1, F.lit(1.0)) - centre * centre) / spread * F.sqrt(n)
         return (F.abs((s["runs"] - mean) / F.sqrt(var)) <= LEAST_Z) & (F.abs(serial) <= LEAST_Z + 0.5)
 
-    return F.when(F.aggregate(code, zero, step, good), p).otherwise(1.0)
+    small = sum(c.islower() for c in alphabet) / k
+    even = F.lit(True)
+    if 0 < small and alphabet.lower() != alphabet:
+        even = F.abs(F.char_length(F.regexp_replace(text, "[^a-z]", "")) - n * small) <= LEAST_Z * F.sqrt(n * (small * (1 - small)))
+    return F.when(even & F.aggregate(code, zero, step, good), p).otherwise(1.0)
 
 
 def _normal_below(z: Column) -> Column:
