@@ -58,16 +58,18 @@ class Model:
 def _index(model: Model, width: int, radius: float):
     def run(batches):
         """Each vector once for its own list, with its code, and once for each further list that it probes."""
+        c2 = (model.coarse**2).sum(1)
+        apart = np.sqrt(np.maximum(c2[:, None] + c2 - 2 * model.coarse @ model.coarse.T, 1e-30))
         for pdf in batches:
             x = matrix(pdf.vector, width)
             x /= np.linalg.norm(x / np.abs(x).max(1)[:, None], axis=1)[:, None] * np.abs(x).max(1)[:, None]
-            d2 = (x**2).sum(1)[:, None] + (model.coarse**2).sum(1) - 2 * x @ model.coarse.T
+            d2 = (x**2).sum(1)[:, None] + c2 - 2 * x @ model.coarse.T
             home = d2.argmin(1)
             codes, missed = model.encode(x, home)
-            between = np.sqrt(np.maximum(((model.coarse[home][:, None] - model.coarse) ** 2).sum(2), 1e-30))
             own = d2[np.arange(len(x)), home]
             # each pair is met once: in the list with the higher number
-            probe = ((d2 - own[:, None]) / (2 * between) <= radius + 1e-7) & (np.arange(len(model.coarse)) > home[:, None])
+            near = ((d2 - own[:, None]) / (2 * apart[home]) <= radius + 1e-7) | (apart[home] < 1e-6)
+            probe = near & (np.arange(len(model.coarse)) > home[:, None])
             at, to = np.nonzero(probe)
             yield pd.DataFrame({"rep": pdf.rep, "n": pdf.n, "kind": pdf.kind, "list": home.astype("int32"), "code": [c.tobytes() for c in codes], "missed": missed, "vector": pdf.vector})
             if len(at):
