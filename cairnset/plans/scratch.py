@@ -11,7 +11,10 @@ from ..sources.files import delete
 
 
 class Scratch:
-    """save() writes a table and reads it back, which cuts its lineage; drop() and close() remove what was written."""
+    """save() writes a table and reads it back, which cuts its lineage; drop() and close() remove what was written.
+
+    A lost executor then costs a read, not a recomputation.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,6 +22,7 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="cairnset-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.paths: dict[int, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -26,7 +30,13 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            delete(self.spark, self.paths.pop(id(table)))
 
     def close(self) -> None:
         delete(self.spark, self.root)
