@@ -1,53 +1,12 @@
-"""What the operators share: the scratch folder, word splitting, local and distributed components."""
+"""What the operators share: word splitting and hashing, local and distributed components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-class Scratch:
-    """Tables in the folder that all executors share (spark.checkpoint.dir).
-
-    A job that needs an intermediate result twice writes it here, which also cuts its lineage: a lost
-    executor then costs a re-read, not a recomputation. drop() removes one table, close() all of them.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="cairnset-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return a DataFrame that reads what was written."""
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            self._delete(self.paths.pop(id(table)))
-
-    def close(self) -> None:
-        self._delete(self.root)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+from ..plans.scratch import Scratch
 
 
 def partitions(spark: SparkSession) -> int:
