@@ -33,20 +33,19 @@ MAX_POP = 97
 SET_CHUNK = 4 << 20
 
 _rng = np.random.default_rng(20240611)
-_MULTIPLY = _rng.integers(0, 2**64, N_HASHES, np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 2**64, N_HASHES, np.uint64)
+_MULTIPLY = (_rng.integers(0, 2**32, N_HASHES, np.uint32) | np.uint32(1))[:, None]
+_ADD = _rng.integers(0, 2**32, N_HASHES, np.uint32)[:, None]
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(N_HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):  # stays in cache, and bounds memory for very long texts
-        part = shingles[at : at + 4096]
-        for i in range(N_HASHES):
-            x = part * _MULTIPLY[i]
-            x += _ADD[i]
-            x ^= x >> np.uint64(32)
-            out[i] = min(out[i], x.min())
-    return out
+    """Samples by multiplication and addition modulo 2^32 of the (mixed) shingle hashes' upper halves."""
+    out = np.full(N_HASHES, np.iinfo(np.uint32).max, np.uint32)
+    upper = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(upper), 512):  # stays in cache, and bounds memory for very long texts
+        x = upper[at : at + 512] * _MULTIPLY
+        x += _ADD
+        np.minimum(out, x.min(1), out)
+    return out.astype(np.uint64)
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
