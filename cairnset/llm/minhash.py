@@ -191,7 +191,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n_words: int = 5, percent
     groups = components(scratch, stars.where("near").select(F.col("leader").alias("a"), F.col("rep").alias("b")).unionAll(near))
 
     # full sets of the candidates; a group too large for a task is dealt to cells
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
+    # a merge join at every size: the groups grow with the input, so the plan must not depend on their being small
+    grouped = groups.select(F.col("node").alias("rep"), F.col("component").alias("group")).hint("merge")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(grouped, "rep")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
