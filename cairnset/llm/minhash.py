@@ -94,20 +94,43 @@ def _signatures(n_words: int):
     return run
 
 
+def spanning(pdf: pd.DataFrame, neighbours) -> pd.DataFrame:
+    """Edges (a, b) that join what is linked in one cell, sorted by rep; neighbours as in forest().
+
+    A cell of two chunks leaves the links inside of a chunk to one cell of that chunk, and else only joins the chunks'
+    components, so the edges of a group are few more than its members, into however many chunks it is dealt.
+    """
+    reps, n = pdf.rep.to_numpy(), len(pdf)
+    i, j, chunks = (int(pdf[c].iloc[0]) for c in ("i", "j", "chunks"))
+    whole = forest(n, neighbours)
+    if i == j:
+        a = np.flatnonzero(whole != np.arange(n))
+        return pd.DataFrame({"a": reps[a], "b": reps[whole[a]]})
+    inside, edges = np.arange(n), []
+    for c in (i, j):
+        own = np.flatnonzero(pdf.mine.to_numpy() == c)
+        inside[own] = own[forest(len(own), lambda p, rest: neighbours(own[p], own[rest]))]
+        if j == i + 1 and (c == i or j == chunks - 1):
+            a = own[inside[own] != own]
+            edges.append((a, inside[a]))
+    roots = np.flatnonzero(inside == np.arange(n))
+    roots = roots[whole[roots] != roots]
+    edges.append((roots, whole[roots]))
+    a, b = (np.concatenate(x) for x in zip(*edges))
+    return pd.DataFrame({"a": reps[a], "b": reps[b]})
+
+
 def _near_sketches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spanning edges of the members of one cell of a bucket whose sketches are near."""
+    """Edges of one cell of a bucket: members whose sketches are near."""
     pdf = pdf.drop_duplicates("rep").sort_values("rep")
-    reps, sketches = pdf.rep.to_numpy(), np.stack(pdf.sketch.to_numpy()).view(np.uint64)
-    label = forest(len(reps), lambda p, rest: np.bitwise_count(sketches[rest] ^ sketches[p]).sum(1, dtype=np.int64) <= MAX_POP)
-    own = label != np.arange(len(reps))
-    return pd.DataFrame({"a": reps[own], "b": reps[label[own]]})
+    sketches = np.stack(pdf.sketch.to_numpy()).view(np.uint64)
+    return spanning(pdf, lambda p, rest: np.bitwise_count(sketches[rest] ^ sketches[p]).sum(1, dtype=np.int64) <= MAX_POP)
 
 
 def _similar_sets(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Spanning edges of the members of one cell whose full sets are similar."""
-        pdf = pdf.drop_duplicates(["rep", "digest"]).sort_values("rep")
-        reps = pdf.rep.to_numpy()
+        """Edges of one cell of a group: members whose full sets are similar."""
+        pdf = pdf.drop_duplicates(["rep", "digest"]).sort_values(["rep", "digest"])
         sets = [np.frombuffer(x, np.uint64) for x in pdf.shingles]
         sizes = np.array([len(x) for x in sets])
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -130,9 +153,7 @@ def _similar_sets(percent: int):
             out[fits] = 100 * both >= percent * (sizes[near] + sizes[p] - both)
             return out
 
-        label = forest(len(reps), linked)
-        own = label != np.arange(len(reps))
-        return pd.DataFrame({"a": reps[own], "b": reps[label[own]]})
+        return spanning(pdf, linked)
 
     return run
 
@@ -143,7 +164,7 @@ def chunks_of(n: Column) -> Column:
 
 
 def cells(members: DataFrame, group: str, chunks: str) -> DataFrame:
-    """Members dealt to cells (group, i, j), so that any two of a group meet in one of them.
+    """Members dealt to cells (group, i, j), so that any two of a group meet in one of them; mine is a member's own chunk.
 
     chunks is the column with the group's number of chunks; a member goes to one chunk by its hash, and
     each pair of chunks makes a cell (a group of one chunk has one cell), so no task gets a whole large group.
@@ -151,11 +172,11 @@ def cells(members: DataFrame, group: str, chunks: str) -> DataFrame:
     c = F.col(chunks)
     mine = F.pmod(F.xxhash64("rep", F.lit(7)), c)
     return (
-        members.withColumn("_mine", mine)
-        .withColumn("_other", F.explode(F.when(c == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), c - 1), lambda x: x != F.col("_mine")))))
-        .withColumn("i", F.least("_mine", "_other"))
-        .withColumn("j", F.greatest("_mine", "_other"))
-        .drop("_mine", "_other", chunks)
+        members.withColumn("mine", mine)
+        .withColumn("_other", F.explode(F.when(c == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), c - 1), lambda x: x != F.col("mine")))))
+        .withColumn("i", F.least("mine", "_other"))
+        .withColumn("j", F.greatest("mine", "_other"))
+        .drop("_other")
     )
 
 
