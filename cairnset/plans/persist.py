@@ -75,13 +75,14 @@ def persist(
         df = df.withColumnRenamed(split, SPLIT)
     df = frames.enforce(frames.conform(df, schema, (SPLIT,)), schema)
     keys = [SPLIT, *schema.primary_keys]
-    again = repeated_keys(df, keys).limit(3).collect()
-    if again:
+    total, most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()  # one pass over the keys
+    if most and most > 1:
+        again = repeated_keys(df, keys).limit(3).collect()
         raise DatasetError(f"keys of several rows, among them {[tuple(r)[:-1] for r in again]}")
 
     attempt = f"{layout.temporary(id)}/persist-{uuid.uuid4().hex}"
     try:
-        counts = _write(df, schema, layout, id, attempt, blob_rows, blob_bytes, rows_per_partition)
+        counts = _write(df, schema, layout, id, attempt, blob_rows, blob_bytes, max(1, (total or 0) // rows_per_partition))
         if files.exists(spark, layout.dataset(id)):
             files.delete(spark, layout.success(id))
             for old in files.children(spark, layout.dataset(id)):
@@ -96,10 +97,9 @@ def persist(
     return counts
 
 
-def _write(df: DataFrame, schema: DatasetSchema, layout: Layout, id: DatasetID, attempt: str, blob_rows: int | None, blob_bytes: int | None, per: int) -> dict[str, int]:
+def _write(df: DataFrame, schema: DatasetSchema, layout: Layout, id: DatasetID, attempt: str, blob_rows: int | None, blob_bytes: int | None, partitions: int) -> dict[str, int]:
     spark = df.sparkSession
-    total = df.count()
-    ordered = positions.key_ordered(df, SPLIT, schema.primary_keys, max(1, total // per))
+    ordered = positions.key_ordered(df, SPLIT, schema.primary_keys, partitions)
     if schema.blob_columns:  # each value is read once, here, and only its pointer goes on
         ordered = blobs.write_blobs(ordered, schema.blob_columns, layout.blobs(id.name), SPLIT, blob_rows, blob_bytes)
     placed = positions.with_place(ordered)
