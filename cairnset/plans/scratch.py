@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.files import delete
 
 
+@cache
+def _own_folder() -> str:
+    """For sessions of one machine that name no shared folder, as in tests."""
+    return "file://" + tempfile.mkdtemp(prefix="cairnset-")
+
+
 class Scratch:
     """save() writes a table and reads it back, which cuts its lineage; drop() and close() remove what was written.
 
@@ -17,10 +24,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="cairnset-")
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[int, str] = {}
 
