@@ -8,21 +8,21 @@ the corpus's size. It leaves runs (length, first rank, pieces, first sequence, o
 run by its rank among the pieces of its length, which the executors count in two levels. The result is that of
 best-fit decreasing.
 
-Texts are cut at boundaries that no token crosses (before a space that follows no space), and tokens of such
-parts are remembered, so repeated words are encoded once a task; ids are those of encoding the whole text.
-
 Defined cases: a null or empty text is one piece of the id 0. Ties (equal lengths) go by a hash of doc_id and
 piece, then by themselves; repeated rows are packed each, as documents of their own. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,61 +31,33 @@ from .common import Scratch
 CAPACITY, END = 2048, 0
 
 
-class PartIds(dict):
-    """Ids of parts of texts as little-endian 32-bit numbers, remembered up to a bound."""
-
-    LIMIT = 500_000
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+# A fixed value: how byte-level tokenizers cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.model.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[part] = ids
-        return ids
 
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self]
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(parts)
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for p, e in zip(some, self.model.encode_batch(some, add_special_tokens=False)):
-                self[p] = np.array(e.ids, "<u4").tobytes()
+@cache
+def encoder(path: str):
+    """A tokenizer's file as a byte-pair encoder, one for each process.
 
-    def of(self, parts: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, parts))
-
-
-def parts(text: str) -> list[str]:
-    """The text cut before each space that follows something else than a white space.
-
-    Byte-level tokens never join white space to what stands before it, so no token crosses such a cut.
+    The file must be of a byte-level tokenizer whose ids follow its merges, so that ids are ranks; texts are then
+    encoded as its own library does, several times faster. Special tokens' strings are ordinary text.
     """
-    first, *rest = text.split(" ")
-    out = [first] if first else []
-    held = ""
-    for word in rest:
-        if not word:  # further spaces stay together with what follows
-            held += " "
-            continue
-        piece = held + " " + word
-        held = ""
-        if out and out[-1][-1:].isspace():
-            out[-1] += piece
-        else:
-            out.append(piece)
-    if held:
-        out.append(held)
-    return out
+    from tiktoken import Encoding
+
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    model, cut = data["model"], data["pre_tokenizer"] or {}
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex") or data["normalizer"] or model.get("byte_fallback") or model.get("ignore_merges"):
+        raise ValueError(f"{path} is not of a plain byte-level tokenizer")
+    vocabulary = model["vocab"]
+    if any(vocabulary["".join(m if isinstance(m, list) else m.split(" "))] != 256 + i for i, m in enumerate(model["merges"])):
+        raise ValueError(f"the ids in {path} don't follow its merges")
+    # printable bytes stand for themselves, the others for characters from 256 on, in order
+    plain = [b for b in range(256) if chr(b).isprintable() and b != 32]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {t["content"] for t in data["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items() if token not in special}
+    return Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def pieces(ids: bytes, capacity: int) -> list[tuple[int, int]]:
@@ -96,20 +68,20 @@ def pieces(ids: bytes, capacity: int) -> list[tuple[int, int]]:
 
 
 def _tokenize(path: str, capacity: int, with_ids: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = PartIds(path)
-        end = np.array([END], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for at in range(0, len(pdf), 256):
-                texts = [parts(t) if t else [] for t in pdf.text[at : at + 256]]
-                known.learn({p for t in texts for p in t if len(p) <= 64})
-                for doc_id, t in zip(pdf.doc_id[at : at + 256], texts):
-                    ids = known.of(t) + end
-                    for k, (s, n) in enumerate(pieces(ids, capacity)):
-                        own = ids[4 * s : 4 * (s + n)]
-                        rows.append((doc_id, k, s, n, zlib.crc32(own), own) if with_ids else (doc_id, k, s, n, zlib.crc32(own)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode_ordinary
+        names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        if with_ids:
+            names, types = [*names, "ids"], [*types, pa.binary()]
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                ids = np.array([*encode(text.as_py() or ""), END], "<u4").tobytes()
+                key = doc_id.as_py()
+                for k, (s, n) in enumerate(pieces(ids, capacity)):
+                    own = ids[4 * s : 4 * (s + n)]
+                    rows.append((key, k, s, n, zlib.crc32(own), own)[: len(names)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)], names)
 
     return run
 
@@ -163,8 +135,8 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = CAPA
     tokenizer: the path of a byte-level tokenizer's file, on every executor. ids: little-endian 32-bit numbers.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInPandas(_tokenize(tokenizer, capacity, with_ids), schema.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(_tokenize(tokenizer, capacity, with_ids), schema)
     rows = scratch.save(rows, "pieces")
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = np.array(best_fit(counts, capacity), np.int64).reshape(-1, 5)
