@@ -6,8 +6,8 @@ small cost, so that ordinary text drifts down. The linear-time scan for all maxi
 finds the passages. Extreme-value statistics of the best segment of rows labelled 0 (its location grows with the
 logarithm of the length) make each segment's score a surprise; the document's surprises feed a logistic curve.
 
-Counts are taken over all labelled training rows, on the executors. The model is bounded: at most
-MAX_FEATURES features, and the curve is fitted on at most MAX_FITTED rows.
+The model is bounded: it is trained on at most MAX_TRAINING labelled rows (those with the least hashes of
+doc_id), whose ids and labels are broadcast, so that texts stay where they are, and it has at most MAX_FEATURES features.
 
 Defined cases: a null, empty or wordless text has no segment and the score of its surprises 0; several labels
 of one doc_id count as toxic if any is 1; without labels of both kinds every score is 0 and nothing is predicted.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-MAX_FEATURES, MAX_FITTED = 100_000, 50_000
+MAX_FEATURES, MAX_TRAINING = 100_000, 100_000
 PREFIXES = (6, 5, 4)
 COST, PRIOR, LEAST_WEIGHT = 0.03, 10.0, 2.5
 SEGMENT_SURPRISE, THRESHOLD = 3.0, 0.7
@@ -173,8 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model | None:
     """docs and labels with doc_id; rows with crc32(doc_id as text) mod 3 = 1 are held out."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", "toxic")
-    counted = rows.select("text", "toxic").mapInPandas(count_features, "feature binary, toxic int, n long")
+    training = scratch.save(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING), "training")
+    rows = docs.select("doc_id", "text").join(F.broadcast(training), "doc_id").select("text", "toxic")
+    counted = rows.mapInPandas(count_features, "feature binary, toxic int, n long")
     counted = counted.groupBy("feature").agg(*(F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(n) for t, n in ((1, "t"), (0, "o"))))
     counted = scratch.save(counted.where("t > 1 or octet_length(feature) = 0"), "features")
     sums = counted.where("octet_length(feature) = 0").first()
@@ -189,8 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model | None:
             done = [model.scan(t) for t in pdf.text]
             yield pd.DataFrame({"toxic": pdf.toxic, "n": [n for n, _ in done], "found": [[s for _, _, s in f] for _, f in done]})
 
-    ids = marks.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FITTED)
-    scanned = rows.join(ids, "doc_id", "left_semi").select("text", "toxic").mapInPandas(scan, "toxic int, n long, found array<double>").toPandas()
+    scanned = rows.mapInPandas(scan, "toxic int, n long, found array<double>").toPandas()
     scanned["found"] = [[(0, 0, float(s)) for s in f] for f in scanned.found]
     model.fit(scanned)
     return model
