@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from .common import Scratch, mix, spread_join
 
 LENGTH, GRAM = 100, 32
 #: Contexts of one anchor hash that go to one transform; bytes of a transform, about.
-MOST, TRANSFORM = 20_000, 2 << 20
+MOST, TRANSFORM = 20_000, 1 << 17
 #: Bytes of texts whose anchors are found at a time.
 GROUP = 1 << 19
 _RIGHT = 8  # bits of a context's length after its anchor's start; before it there are as many
@@ -208,72 +209,78 @@ def prefix_boundaries(symbols: np.ndarray, suffixes: np.ndarray, least: int) ->
     return boundary[:n]
 
 
-def repeated_starts(texts: list[bytes], order: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, the starts in it of strings of `length` bytes that occur earlier.
+def repeated_runs(texts: list[bytes], order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, begin, end) of maximal runs that strings of `length` bytes cover which occur earlier.
 
     order[i] ranks text i's first byte; bytes of equal rank are the same byte, in texts that are windows
     of one document.
     """
     lengths = np.array([len(t) for t in texts])
-    symbols = np.zeros(int((lengths + 1).sum()) + 1, np.int16)
     firsts = np.cumsum(lengths + 1) - lengths  # one 0 before each text
-    whole = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)
-    symbols[:] = whole
+    symbols = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8).astype(np.int16)
     symbols += 1
     symbols[np.concatenate([firsts - 1, [len(symbols) - 1]])] = 0
     suffixes = sorted_suffixes(symbols, length)
     group = np.cumsum(prefix_boundaries(symbols, suffixes, length))
-    text = np.searchsorted(firsts, suffixes, "right") - 1
-    offset = suffixes - firsts[np.maximum(text, 0)]
-    valid = (text >= 0) & (offset + length <= lengths[np.maximum(text, 0)]) & (offset >= 0)
-    group, text, offset = group[valid], text[valid], offset[valid]
+    of = np.repeat(np.arange(-1, len(texts)), np.concatenate([[1], lengths[:-1] + 1, [lengths[-1] + 1]]))  # each symbol's text
+    of = of[suffixes]
+    valid = of >= 0
+    offset = suffixes - firsts[of]
+    valid &= offset + length <= lengths[of]
+    group, of, offset = group[valid], of[valid], offset[valid]
     if not len(group):
-        return [np.zeros(0, np.int64) for _ in texts]
-    rank = order[text] + offset
+        return (np.zeros(0, np.int64),) * 3
+    rank = order[of] + offset
     start = np.flatnonzero(np.diff(group, prepend=-1))
     earliest = np.minimum.reduceat(rank, start)
     late = rank > np.repeat(earliest, np.diff(np.append(start, len(group))))
-    text, offset = text[late], offset[late]
-    by = np.lexsort((offset, text))
-    text, offset = text[by], offset[by]
-    cut = np.searchsorted(text, np.arange(len(texts) + 1))
-    return [offset[a:b] for a, b in zip(cut, cut[1:])]
-
-
-def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by strings of `length` bytes that begin at the ascending starts."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return list(zip(starts[np.concatenate([[0], cut])].tolist(), (starts[np.concatenate([cut - 1, [len(starts) - 1]])] + length).tolist()))
+    at = np.sort(firsts[of[late]] + offset[late])
+    cut = np.flatnonzero(np.diff(at, prepend=-length - 1) > length)  # texts are further apart than that, as a string ends in its text
+    begin, end = at[cut], at[np.append(cut[1:] - 1, len(at) - 1)[: len(cut)]] + length
+    text = np.searchsorted(firsts, begin, "right") - 1
+    return text, begin - firsts[text], end - firsts[text]
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, part, begin, end) of repeats, from contexts sorted by hash; a hash's contexts share a transform."""
-    held: list[tuple] = []
+    held: list[pa.RecordBatch] = []
     size = 0
 
-    def solve() -> pa.RecordBatch:
-        places = sorted({(r[1] is None, r[1] or 0, r[2], (r[3] >> (2 * _RIGHT)) - (r[3] >> _RIGHT & 255)) for r in held})
+    def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+        absent = np.array(rows.column(1).is_null())
+        doc, part, at = (rows.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        begin = (at >> (2 * _RIGHT)) - (at >> _RIGHT & 255)
         # a rank for each text's first byte that leaves room for those after it and keeps those of one document in step
-        rank, at, last = {}, 0, None
-        for place in places:
-            at += min(place[3] - last[3], 1 << 10) if last and last[:3] == place[:3] else 1 << 10
-            rank[place], last = at, place
-        begins = [(r[1] is None, r[1] or 0, r[2], (r[3] >> (2 * _RIGHT)) - (r[3] >> _RIGHT & 255)) for r in held]
-        found = repeated_starts([r[4] for r in held], np.array([rank[b] for b in begins]), LENGTH)
-        out = [(None if b[0] else b[1], b[2], b[3] + x, b[3] + y) for b, starts in zip(begins, found) for x, y in runs(starts, LENGTH)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([],) * 4)], ["doc", "part", "begin", "end"])
+        by = np.lexsort((begin, part, doc, absent))
+        same = (np.diff(doc[by]) == 0) & (np.diff(part[by]) == 0) & (np.diff(absent[by].astype(np.int8)) == 0)
+        step = np.where(same, np.minimum(np.diff(begin[by]), 1 << 10), 1 << 10)
+        order = np.empty(len(by), np.int64)
+        order[by] = np.concatenate([[0], np.cumsum(step)])
+        text, a, b = repeated_runs(rows.column(4).to_pylist(), order, LENGTH)
+        return pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(text)), pa.array(part[text]), pa.array(begin[text] + a), pa.array(begin[text] + b)], ["doc", "part", "begin", "end"])
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if held and size >= TRANSFORM and row[0] != held[-1][0]:
-                yield solve()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
+        if not batch.num_rows:
+            continue
+        total = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(4)).to_numpy())])
+        hashes = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.diff(hashes)) + 1  # of further hashes
+        if held and held[-1].column(0)[-1].as_py() != hashes[0]:
+            starts = np.append(0, starts)
+        at = 0
+        while len(starts := starts[np.searchsorted(total[starts], total[at] + TRANSFORM - size) :]):
+            if starts[0] > at:
+                held.append(batch.slice(at, starts[0] - at))
+            yield solve(joined())
+            held, size, at = [], 0, int(starts[0])
+            starts = starts[1:]
+        held.append(batch.slice(at))
+        size += int(total[-1] - total[at])
     if held:
-        yield solve()
+        yield solve(joined())
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
