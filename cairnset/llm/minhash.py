@@ -31,6 +31,8 @@ N_HASHES = BANDS * ROWS
 MAX_POP = 97
 #: Bytes of sets that one task compares with each other or with as many more, about.
 SET_CHUNK = 4 << 20
+#: Members of one chunk of a bucket or group.
+CHUNK = 2048
 
 _rng = np.random.default_rng(20240611)
 _MULTIPLY = (_rng.integers(0, 2**32, N_HASHES, np.uint32) | np.uint32(1))[:, None]
@@ -159,8 +161,8 @@ def _similar_sets(percent: int):
 
 
 def chunks_of(n: Column) -> Column:
-    """Number of chunks for n members: of 128 to 2048 members, fewer of them the larger the group."""
-    return F.ceil(n / F.least(F.greatest(F.lit(128.0), 4 * F.sqrt(n)), F.lit(2048.0)))
+    """Number of chunks for n members."""
+    return F.ceil(n / F.lit(float(CHUNK)))
 
 
 def cells(members: DataFrame, group: str, chunks: str) -> DataFrame:

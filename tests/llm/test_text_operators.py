@@ -109,6 +109,7 @@ def test_near_query(spark):
 def test_near_groups(spark, monkeypatch, chunk):
     """Groups of near copies, some at the threshold; small chunks deal a group to many cells."""
     monkeypatch.setattr(minhash, "SET_CHUNK", chunk)
+    monkeypatch.setattr(minhash, "CHUNK", chunk >> 8)
     r = random.Random(6)
     rows = []
     for g in range(6):
