@@ -15,6 +15,7 @@ piece, then by themselves; repeated rows are packed each, as documents of their
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ CAPACITY, END = 2048, 0
 
 # A fixed value: how byte-level tokenizers cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space from this length on are cut out before PATTERN is tried: it backtracks in them, and its library fails from about a million characters.
+LONG_RUN = 100_000
+#: What PATTERN's \s is.
+SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 @cache
@@ -60,6 +65,23 @@ def encoder(path: str):
     return Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(model, text: str) -> list[int]:
+    """The text's ids, also if it holds runs of white space too long for PATTERN.
+
+    Of a run before another character PATTERN takes all but the last one as a piece, and goes on from that; of a run
+    at the end, all. So the ids are those of the whole text.
+    """
+    if len(text) < LONG_RUN:
+        return model.encode_ordinary(text)
+    ids, at = [], 0
+    for run in re.finditer(SPACE + "{%d,}" % LONG_RUN, text):
+        end = run.end() - (run.end() < len(text))
+        ids += model.encode_ordinary(text[at : run.start()])
+        ids += model._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + model.encode_ordinary(text[at:])
+
+
 def pieces(ids: bytes, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter if there are several."""
     n = len(ids) // 4
@@ -69,14 +91,14 @@ def pieces(ids: bytes, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenize(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        model = encoder(path)
         names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         if with_ids:
             names, types = [*names, "ids"], [*types, pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), END], "<u4").tobytes()
+                ids = np.array([*encode(model, text.as_py() or ""), END], "<u4").tobytes()
                 key = doc_id.as_py()
                 for k, (s, n) in enumerate(pieces(ids, capacity)):
                     own = ids[4 * s : 4 * (s + n)]

@@ -274,6 +274,14 @@ def test_packing_small(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), Scratch(spark, "t"), tokenizer()).count() == 0
 
 
+def test_packing_very_long_white_space(spark):
+    """Runs that the cut's regular expression can't take, and runs about the length from which they are cut out."""
+    n, most = 100_000, 2_000_000
+    texts = dict(enumerate(["a" + " " * most + "b", "\n" * most + "1", "x " + " \t\n\u3000" * (most // 4), "\xa0" * most + "?" + " " * most + "'s", " " * most, *(f"a.{' ' * k}{end}" for k in (n - 1, n, n + 1) for end in ("", "b", "\n", "\n\x1cb"))]))
+    rows = packing.pack(spark.createDataFrame([(i, t, "s") for i, t in texts.items()], DOCS), Scratch(spark, "t"), tokenizer()).collect()
+    check_packing(rows, texts, 2048)
+
+
 def test_packing_repeated_rows(spark):
     rows = packing.pack(spark.createDataFrame([(1, "a b", "s")] * 3 + [(None, "a b", "s")], DOCS), Scratch(spark, "t"), tokenizer()).collect()
     assert sorted(r.offset for r in rows) == [0, 3, 6, 9] and len({r.sequence_id for r in rows}) == 1
