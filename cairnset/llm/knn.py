@@ -2,8 +2,8 @@
 
 With M the greatest length of a candidate, (x, sqrt(M^2 - |x|^2)) and (q, 0) turn greatest inner products
 into smallest distances: |q' - x'|^2 = |q|^2 + M^2 - 2 q.x. Pivots split queries and candidates into cells.
-Summaries per cell (queries: greatest distance to the pivot; candidates: count, and the k + 1 smallest
-distances to it) bound the distance of each query cell's k-th neighbour; a candidate is replicated only to the query
+Summaries per cell (queries: greatest distance to the pivot; candidates: the k + 1 vec_ids with the smallest
+distances to it, one row each) bound the distance of each query cell's k-th neighbour; a candidate is replicated only to the query
 groups whose bound it can meet (triangle inequality, and the distance to the bisecting hyperplane). Groups
 are neighbouring query cells; they are solved in blocks of queries and candidates, so a group of any size is
 dealt to many tasks, and each block keeps k rows a query.
@@ -47,10 +47,12 @@ def _deal(pivots: np.ndarray, width: int, most2: float, query: bool):
 
 
 def _smallest(k: int):
+    """For each cell the k ids with the smallest distances, each by its nearest row."""
+
     def run(batches):
         kept = None
         for pdf in batches:
-            kept = pd.concat([kept, pdf]).sort_values(["cell", "far"]).groupby("cell").head(k)
+            kept = pd.concat([kept, pdf]).sort_values(["cell", "far"]).drop_duplicates(["cell", "id"]).groupby("cell").head(k)
         if kept is not None:
             yield kept
 
@@ -128,14 +130,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, scratch: Scratch, k: int =
 
     data = scratch.save(data.mapInPandas(_deal(pivots, width, most2, False), "id long, vector array<double>, cell int, far double"), "dealt")
     asked = scratch.save(asked.mapInPandas(_deal(pivots, width, most2, True), "id long, vector array<double>, row long, cell int, far double"), "dealt")
-    # summaries: k + 1 rows a cell at most, as a query may meet its own row; first of each task, then of slices
-    firsts = data.select("cell", "far").mapInPandas(_smallest(k + 1), "cell int, far double")
-    nearest_few = firsts.groupBy("cell", F.pmod(F.xxhash64("far"), F.lit(partitions(scratch.spark))).alias("slice")).agg(F.slice(F.array_sort(F.collect_list("far")), 1, k + 1).alias("few"))
-    few = {r.cell: sorted(r.few)[: k + 1] for r in nearest_few.groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, k + 1).alias("few")).collect()}
+    # summaries: k + 1 ids a cell at most, as one may be the query's own; first of each task, then of slices
+    firsts = data.select("cell", "id", "far").mapInPandas(_smallest(k + 1), "cell int, id long, far double").groupBy("cell", "id").agg(F.min("far").alias("far"))
+    nearest_few = firsts.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(partitions(scratch.spark))).alias("slice")).agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("few"))
+    few = {r.cell: r.few for r in nearest_few.groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, k + 1).alias("few")).collect()}
     cells = {r.cell: (r.far, r.n) for r in asked.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     reach, between = np.full((len(pivots), 2), -1.0), np.sqrt(((pivots[:, None] - pivots) ** 2).sum(2))
     for c, (far, _) in cells.items():
-        upper = sorted(far + between[c, j] + f for j, fs in few.items() for f in fs)
+        least: dict[int, float] = {}  # of each id, whose rows may be in several cells
+        for j, rows in few.items():
+            for f in rows:
+                least[f.id] = min(least.get(f.id, np.inf), far + between[c, j] + f.far)
+        upper = sorted(least.values())
         reach[c] = far, upper[k] if len(upper) > k else np.inf
     group, load = np.zeros(len(pivots), np.int64), 0
     left = set(cells)

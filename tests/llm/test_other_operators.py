@@ -104,6 +104,18 @@ def test_top_k(spark, monkeypatch, small):
     assert top(spark, asked, rows) == brute_top(asked, rows, 5, 256.0)
 
 
+def test_top_k_repeated_queried_ids(spark):
+    """Rows of one queried id, equal ones and others, are more than k and nearer than all candidates."""
+    r = np.random.default_rng(3)
+    vector = lambda: [float(np.float32(x)) for x in r.normal(size=8)]
+    rows = [(50, vector(), 0)] * 6 + [(i, vector(), 0) for i in range(39)]
+    assert top(spark, rows[:1], rows) == brute_top(rows[:1], rows, 5, 256.0)
+    # the rows of an id in cells of their own
+    rows = [(50, [10.0 + i, 1.0], 0) for i in range(7) for _ in range(i + 1)] + [(i, [-10.0 - i, 1.0], 0) for i in range(30)]
+    asked = [x for x in rows if x[0] in (50, 7)]
+    assert top(spark, asked, rows) == brute_top(asked, rows, 5, 256.0)
+
+
 def test_top_k_defined_cases(spark):
     rows = [(1, [1.0, 2.0], 0), (2, None, 0), (3, [], 0), (4, [float("nan"), 1.0], 0), (5, [None, 1.0], 0), (6, [0.0, 0.0], 0), (7, [3.0], 0), (None, [1.0, 1.0], 0)]
     assert top(spark, rows, rows) == brute_top(rows, rows, 5, 256.0)
