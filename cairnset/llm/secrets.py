@@ -1,9 +1,10 @@
 """Secret scans with built-in functions only.
 
 Base kinds are found by their patterns. Other long tokens are put to a battery of randomness tests: the encoding is
-inferred (hex, base32 or base64), which gives the alphabet; a chi-squared test of uniformity against
+inferred (hex, base32, base36 or base64; letters of one case are upper or lower), which gives the alphabet; a chi-squared test of uniformity against
 ordinary, skewed use of the alphabet gives a p-value that takes the length into account; the runs test, the serial
-correlation and, where letters of both cases occur, the share of small ones must not contradict randomness. Benjamini and Hochberg's rule on all tokens' p-values, from
+correlation and, where letters of both cases occur, the share of small ones, else the shares of digits and vowels and the
+changes between digits and letters must not contradict randomness. Benjamini and Hochberg's rule on all tokens' p-values, from
 a histogram of at most BINS bins, says which are secrets.
 
 Where matches stand: split() by the pattern gives the texts between them, so their lengths and those of the
@@ -26,11 +27,13 @@ ACCESS, HEX, RANDOM = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_-]{
 KINDS = ("assign", "access", "hex", "random")
 #: For each encoding: pattern of the whole token, its alphabet, and by how much ordinary tokens' chi-squared grows a character.
 ENCODINGS = {
-    "hex": (r"^(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.9),
-    "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.5),
+    "hex": (r"^(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 2.5),
+    "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567", 2.0),
+    "base36": (r"^(?=.*[0-9])(?=.*[a-zA-Z])(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 2.5),
     "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.0),
 }
-RATE, LEAST_Z, BINS = 0.01, 3.3, 600
+#: For the shares in tokens with letters of one case: ordinary words with numbers in them are nearer to randomness there.
+RATE, LEAST_Z, SHARE_Z, BINS = 0.01, 3.3, 2.5, 600
 
 
 def matched(docs: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def p_value(token: Column) -> Column:
     """Probability that an ordinary token of this length and encoding looks as random; 1 if runs or serial correlation say it isn't random."""
     out = None
     for name, (_, alphabet, skew) in ENCODINGS.items():
-        text = F.lower(token) if name == "hex" else token
+        text = F.lower(token) if alphabet.lower() == alphabet else token
         p = _battery(text, alphabet, skew)
         out = F.when(encoding(token) == name, p) if out is None else out.when(encoding(token) == name, p)
     return F.coalesce(out, F.lit(1.0))
@@ -143,8 +146,15 @@ def _battery(text: Column, alphabet: str, skew: float) -> Column:
         return (F.abs((s["runs"] - mean) / F.sqrt(var)) <= LEAST_Z) & (F.abs(serial) <= LEAST_Z + 0.5)
 
     small = sum(c.islower() for c in alphabet) / k
-    even = F.lit(True)
-    if 0 < small and alphabet.lower() != alphabet:
+    if alphabet.lower() == alphabet:
+        digits, letters = sum(c.isdigit() for c in alphabet) / k, [c for c in alphabet if c.isalpha()]
+        vowels, change = sum(c in "aeiou" for c in letters) / len(letters), 2 * digits * (1 - digits)
+        n_digits, n_vowels = (F.char_length(F.regexp_replace(text, c, "")) for c in ("[^0-9]", "[^aeiou]"))
+        changes = F.char_length(F.regexp_replace(text, "(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])", " ")) - n
+        even = F.abs(n_digits - n * digits) <= SHARE_Z * F.sqrt(n * (digits * (1 - digits)))
+        even &= changes >= (n - 1) * change - SHARE_Z * F.sqrt((n - 1) * (change * (1 - change)))
+        even &= n_vowels <= (n - n_digits) * vowels + SHARE_Z * F.sqrt((n - n_digits) * (vowels * (1 - vowels)))
+    else:
         even = F.abs(F.char_length(F.regexp_replace(text, "[^a-z]", "")) - n * small) <= LEAST_Z * F.sqrt(n * (small * (1 - small)))
     return F.when(even & F.aggregate(code, zero, step, good), p).otherwise(1.0)
 
