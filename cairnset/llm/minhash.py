@@ -123,8 +123,8 @@ def spanning(pdf: pd.DataFrame, neighbours) -> pd.DataFrame:
 
 
 def _near_sketches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one cell of a bucket: members whose sketches are near."""
-    pdf = pdf.drop_duplicates("rep").sort_values("rep")
+    """Edges of one cell of a bucket: members whose sketches are near. A rep may have several sets."""
+    pdf = pdf.drop_duplicates(["rep", "k1"]).sort_values(["rep", "k1"])
     sketches = np.stack(pdf.sketch.to_numpy()).view(np.uint64)
     return spanning(pdf, lambda p, rest: np.bitwise_count(sketches[rest] ^ sketches[p]).sum(1, dtype=np.int64) <= MAX_POP)
 
@@ -165,14 +165,14 @@ def chunks_of(n: Column) -> Column:
     return F.ceil(n / F.lit(float(CHUNK)))
 
 
-def cells(members: DataFrame, group: str, chunks: str) -> DataFrame:
+def cells(members: DataFrame, group: str, chunks: str, key: str = "rep") -> DataFrame:
     """Members dealt to cells (group, i, j), so that any two of a group meet in one of them; mine is a member's own chunk.
 
-    chunks is the column with the group's number of chunks; a member goes to one chunk by its hash, and
+    chunks is the column with the group's number of chunks; a member goes to one chunk by its key's hash, and
     each pair of chunks makes a cell (a group of one chunk has one cell), so no task gets a whole large group.
     """
     c = F.col(chunks)
-    mine = F.pmod(F.xxhash64("rep", F.lit(7)), c)
+    mine = F.pmod(F.xxhash64(key, F.lit(7)), c)
     return (
         members.withColumn("mine", mine)
         .withColumn("_other", F.explode(F.when(c == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), c - 1), lambda x: x != F.col("mine")))))
@@ -199,19 +199,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n_words: int = 5, percent
     )
 
     # buckets of two or more; those near their first member's sketch need no more comparisons if that is all
-    banded = one.select("rep", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    members = scratch.save(spread_join(banded, shared, "bucket"), "members")
-    sketches = one.groupBy("rep").agg(F.first("sketch").alias("sketch"))
+    # by the sets' keys, as a doc_id may be the rep of several sets; only edges are of reps
+    banded = one.select("rep", "k1", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("k1", "rep").alias("leader")).where("n > 1")
+    members = scratch.save(spread_join(banded.drop("rep"), shared, "bucket"), "members")
+    sketches = one.select("k1", "rep", "sketch")
     pop = F.aggregate(F.zip_with("sketch", "lead", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    stars = members.where("rep <> leader").select("leader", "rep").distinct().join(sketches, "rep")
-    stars = spread_join(stars, sketches.select(F.col("rep").alias("leader"), F.col("sketch").alias("lead")), "leader")
-    stars = scratch.save(stars.select("leader", "rep", (pop <= MAX_POP).alias("near")), "stars")
-    mixed = members.join(stars.where("not near"), ["leader", "rep"], "left_semi").select("bucket").distinct()
-    rest = spread_join(members, mixed, "bucket", "left_semi").join(sketches, "rep").withColumn("chunks", chunks_of(F.col("n")))
-    rest = cells(rest.select("bucket", "rep", "sketch", "chunks"), "bucket", "chunks")
+    stars = members.where("k1 <> leader").select("leader", "k1").distinct().join(sketches, "k1")
+    stars = spread_join(stars, sketches.select(F.col("k1").alias("leader"), F.col("rep").alias("lead_rep"), F.col("sketch").alias("lead")), "leader")
+    stars = scratch.save(stars.select("leader", "k1", "lead_rep", "rep", (pop <= MAX_POP).alias("near")), "stars")
+    mixed = members.join(stars.where("not near"), ["leader", "k1"], "left_semi").select("bucket").distinct()
+    rest = spread_join(members, mixed, "bucket", "left_semi").join(sketches, "k1").withColumn("chunks", chunks_of(F.col("n")))
+    rest = cells(rest.select("bucket", "rep", "k1", "sketch", "chunks"), "bucket", "chunks", "k1")
     near = rest.groupBy("bucket", "i", "j").applyInPandas(_near_sketches, "a long, b long")
-    groups = components(scratch, stars.where("near").select(F.col("leader").alias("a"), F.col("rep").alias("b")).unionAll(near))
+    groups = components(scratch, stars.where("near").select(F.col("lead_rep").alias("a"), F.col("rep").alias("b")).unionAll(near))
 
     # full sets of the candidates; a group too large for a task is dealt to cells
     # a merge join at every size: the groups grow with the input, so the plan must not depend on their being small

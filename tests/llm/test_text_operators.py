@@ -138,6 +138,23 @@ def test_near_defined_cases(spark):
     assert near(spark, []) == []
 
 
+@pytest.mark.parametrize("chunk", [2048, 8])
+def test_near_ids_of_several_texts(spark, monkeypatch, chunk):
+    """Ids that are the smallest of two sets each, with near copies of both; also in buckets with texts that aren't near."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    r = random.Random(13)
+    rows, want = [], {}
+    for i in range(12):
+        for k, base in enumerate([prose(r, 150), prose(r, 150)]):
+            near_copy, far_copy = base.split(), base.split()
+            near_copy[r.randrange(150)] = "other"
+            for j in range(6):
+                far_copy[10 + 24 * j] = f"far{j}"
+            rows += [(i, base, "s"), (100 + 10 * i + k, " ".join(near_copy), "s"), (300 + 10 * i + k, " ".join(far_copy), "s")]
+            want |= {i: i, 100 + 10 * i + k: i, 300 + 10 * i + k: 300 + 10 * i + k}
+    assert {d: c for d, _, c, _ in near(spark, rows)} == want
+
+
 def test_odd_sketches_estimate():
     """The sketch's distance lets every pair of the threshold through."""
     r = np.random.default_rng(7)
