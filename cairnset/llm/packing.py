@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences, bulk-synchronous.
+"""Best-fit packing of token sequences, in rounds on the driver over classes of equal lengths and gaps.
 
 Pieces have lengths from 1 to `capacity`, so a superstep handles all pieces of one length at once, longest
 first. Gaps are kept in order of size, as classes of sequences filled alike; a successor sweep gives the pieces
