@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, components, forest, mix, shingle_hashes, spread_join, words
+from .common import Scratch, WordHashes, components, forest, mix, parts, shingle_hashes, spread_join, words
 
 BANDS, ROWS, SKETCH_BITS = 32, 5, 512
 N_HASHES = BANDS * ROWS
@@ -71,7 +71,7 @@ def _signatures(n_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in parts(batches, 1):
             ids, sizes, keys1, keys2, bands, sketches = [], [], [], [], [], []
             with np.errstate(over="ignore"):
                 for doc_id, text in zip(batch.column(0), batch.column(1)):
@@ -187,6 +187,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n_words: int = 5, percent
 
     Linked: 100 * |intersection| >= percent * |union|. component_id is the smallest doc_id that links reach.
     """
+    scratch = scratch.inner("near")
     signed = scratch.save(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
             _signatures(n_words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
@@ -223,18 +224,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n_words: int = 5, percent
         import xxhash
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in parts(batches, 1):
+            found, digests = [], []
             with np.errstate(over="ignore"):
-                found = [shingle_hashes(hashes.of(words(t.as_py())), n_words) for t in batch.column(1)]
-            digests = [int.from_bytes(xxhash.xxh3_64_digest(s), "little", signed=True) for s in found]
-            for at in range(0, len(found), 64):
-                part = slice(at, at + 64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part], batch.column(2)[part], pa.array(digests[part], pa.int64()), pa.array([s.tobytes() for s in found[part]], pa.binary())],
-                    ["rep", "group", "digest", "shingles"],
-                )
+                for text in batch.column(1):
+                    s = shingle_hashes(hashes.of(words(text.as_py())), n_words)
+                    digests.append(int.from_bytes(xxhash.xxh3_64_digest(s), "little", signed=True))
+                    found.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.int64()), pa.array(found, pa.binary())], ["rep", "group", "digest", "shingles"])
 
     sets = scratch.save(texts.select("rep", "text", "group").mapInArrow(full_sets, "rep long, group long, digest long, shingles binary"), "sets")
+    scratch.keep(signed, one, sets)
     sets = sets.where("octet_length(shingles) > 0")
     sizes = sets.groupBy("group").agg(F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / SET_CHUNK), chunks_of(F.count("*"))).alias("chunks"))
     links = cells(spread_join(sets, sizes, "group"), "group", "chunks").groupBy("group", "i", "j").applyInPandas(_similar_sets(percent), "a long, b long")
@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, n_words: int = 5, percent
     classes = scratch.save(
         one.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "classes"
     )
+    scratch.keep(signed, classes)
     # joined on the set's key, so that no row multiplies
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(classes, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
