@@ -6,12 +6,14 @@ small cost, so that ordinary text drifts down. The linear-time scan for all maxi
 finds the passages. Extreme-value statistics of the best segment of rows labelled 0 (its location grows with the
 logarithm of the length) make each segment's score a surprise; the document's surprises feed a logistic curve.
 
-The model is bounded: it is trained on at most MAX_TRAINING labelled rows (those with the least hashes of
-doc_id), whose ids and labels are broadcast, so that texts stay where they are, and it has at most MAX_FEATURES features.
+The model is trained on at most MAX_TRAINING labelled rows (those with the least hashes of doc_id), whose ids and labels
+are broadcast, so that texts stay where they are. Counts, significance and the moments of the law are computed on the
+executors; to the driver come the significant features and three numbers for each doc_id of the training.
 
 Defined cases: a null, empty or wordless text has no segment and the score of its surprises 0; several labels
 of one doc_id count as toxic if any is 1; without labels of both kinds every score is 0 and nothing is predicted.
-Rows without doc_id are scored, and are not held out. Rows that share a doc_id are scored one by one.
+Rows without doc_id are scored, and are not held out. Rows that share a doc_id are scored one by one. Only text goes to
+Python, so other columns, whatever their names and types, stay as they are.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, col, free, parts, tidy
 
-MAX_FEATURES, MAX_TRAINING = 100_000, 100_000
+MAX_TRAINING = 100_000
+#: Counts that a task holds before it sends them on.
+HELD = 200_000
 PREFIXES = (6, 5, 4)
 COST, PRIOR, LEAST_WEIGHT = 0.03, 10.0, 2.5
 SEGMENT_SURPRISE, THRESHOLD = 3.0, 0.7
@@ -44,34 +49,48 @@ def features(word: bytes) -> list[bytes]:
     return [word + b" ", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(feature, toxic, n): in how many rows of the batch; feature b'' counts the rows."""
-    for pdf in batches:
-        for toxic in (0, 1):
-            found: Counter = Counter()
-            for text in pdf.text[pdf.toxic == toxic]:
-                seen = set(tokens(text))
-                found.update([w + b" " for w in seen])
-                for n in PREFIXES:
-                    found.update({w[:n] for w in seen if len(w) >= n})
-                found[b""] += 1
-            if found:
-                yield pd.DataFrame({"feature": list(found.keys()), "toxic": toxic, "n": list(found.values())})
-
-
-def log_odds(feature: list[bytes], toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> dict[bytes, float]:
-    """Features of toxic rows whose log-odds are significant; the prior follows both classes' common rate."""
-    rate = (toxic + other) / (n_toxic + n_other)
-    a = PRIOR * rate * n_toxic / (n_toxic + n_other) + 0.01
-    b = PRIOR * rate * n_other / (n_toxic + n_other) + 0.01
-    odds = np.log((toxic + a) / np.maximum(n_toxic + PRIOR - toxic - a, 0.5)) - np.log((other + b) / np.maximum(n_other + PRIOR - other - b, 0.5))
-    # significance by the likelihood ratio, which holds for counts of 0 too
-    g = 2 * sum(n * np.log(np.maximum(n, 1e-9) / np.maximum(total * rate, 1e-9)) for n, total in ((toxic, n_toxic), (other, n_other)))
-    z = np.sqrt(np.maximum(g, 0))
-    least_z = math.sqrt(2 * math.log(max(2, len(feature))))  # what chance alone hardly gives any of so many features
-    keep = np.flatnonzero((z >= least_z) & (odds >= LEAST_WEIGHT))
-    keep = keep[np.lexsort((keep, -z[keep]))][:MAX_FEATURES]
-    return {feature[i]: float(odds[i]) for i in keep}
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, t, o): in how many toxic and other rows (text, toxic) of the task, in several shares; feature b'' counts the rows."""
+    found: tuple[Counter, Counter] = (Counter(), Counter())  # of other rows, of toxic ones
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        keys = list(found[0].keys() | found[1].keys())
+        for at in range(0, len(keys), 10_000):
+            part = keys[at : at + 10_000]
+            counts = [pa.array([c[k] for k in part], pa.int64()) for c in (found[1], found[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *counts], ["feature", "t", "o"])
+        for c in found:
+            c.clear()
+
+    for batch in parts(batches, 0):
+        for text, toxic in zip(batch.column(0), batch.column(1)):
+            seen = set(tokens(text.as_py()))
+            own = found[toxic.as_py()]
+            own.update([w + b" " for w in seen])
+            for n in PREFIXES:
+                own.update({w[:n] for w in seen if len(w) >= n})
+            own[b""] += 1
+        if len(found[0]) + len(found[1]) > HELD:
+            yield from flush()
+    yield from flush()
+
+
+def significant(counted: DataFrame, toxic: int, other: int) -> DataFrame:
+    """(feature, odds) from (feature, t, o): features of toxic rows whose log-odds are significant.
+
+    The prior follows both classes' common rate. Significance is by the likelihood ratio, which holds for counts of 0 too, at
+    what chance alone hardly gives any of so many features.
+    """
+    t, o = F.col("t").cast("double"), F.col("o").cast("double")
+    able = counted.where("octet_length(feature) > 0 and t > 1").where(t / toxic >= 1.5 * o / other)
+    least_z = math.sqrt(2 * math.log(max(2, able.count())))
+    rate = (t + o) / (toxic + other)
+    a = PRIOR * rate * toxic / (toxic + other) + 0.01
+    b = PRIOR * rate * other / (toxic + other) + 0.01
+    half, tiny = F.lit(0.5), F.lit(1e-9)
+    odds = F.log((t + a) / F.greatest(toxic + PRIOR - t - a, half)) - F.log((o + b) / F.greatest(other + PRIOR - o - b, half))
+    g = sum(2 * n * F.log(F.greatest(n, tiny) / F.greatest(total * rate, tiny)) for n, total in ((t, toxic), (o, other)))
+    return able.select("feature", odds.alias("odds"), F.sqrt(F.greatest(g, F.lit(0.0))).alias("z")).where(F.col("z") >= least_z).where(F.col("odds") >= LEAST_WEIGHT).select("feature", "odds")
 
 
 def segments(scores: Iterable[tuple[int, float]], cost: float) -> list[tuple[int, int, float]]:
@@ -100,12 +119,14 @@ def segments(scores: Iterable[tuple[int, float]], cost: float) -> list[tuple[int
 class Surprise:
     """Extreme-value law of the best segment of ordinary text: location a + b ln(n), scale s, by moments."""
 
-    def __init__(self, best: np.ndarray, lengths: np.ndarray):
-        x = np.log(np.maximum(lengths, 1.0))
-        self.b = max(0.0, float(np.cov(x, best)[0, 1] / max(np.var(x, ddof=1), 1e-9))) if len(x) > 2 else 0.0
-        rest = best - self.b * x if len(best) else np.zeros(1)
-        self.scale = max(0.3, float(np.std(rest)) * math.sqrt(6) / math.pi)
-        self.a = float(np.mean(rest)) - 0.5772156649 * self.scale
+    def __init__(self, n: float, x: float, y: float, xx: float, xy: float, yy: float):
+        """Sums over ordinary texts, of 1 and of x = ln(length) and y = the best segment's score."""
+        mean_x, mean_y = x / max(n, 1), y / max(n, 1)
+        var_x, cov, var_y = xx / max(n, 1) - mean_x**2, xy / max(n, 1) - mean_x * mean_y, yy / max(n, 1) - mean_y**2
+        self.b = max(0.0, cov / max(var_x, 1e-9)) if n > 2 else 0.0
+        spread = math.sqrt(max(0.0, var_y - 2 * self.b * cov + self.b**2 * var_x))
+        self.scale = max(0.3, spread * math.sqrt(6) / math.pi)
+        self.a = mean_y - self.b * mean_x - 0.5772156649 * self.scale
 
     def of(self, score: np.ndarray, length: np.ndarray) -> np.ndarray:
         """-ln P(the best of ordinary text of this length scores as high)."""
@@ -147,7 +168,7 @@ class Model:
 
     def weight(self, word: bytes) -> float:
         if (value := self.known.get(word)) is None:
-            if len(self.known) >= 200_000:
+            if len(self.known) >= 100_000:
                 self.known.clear()
             self.known[word] = value = next((self.odds[f] for f in features(word) if f in self.odds), 0.0) - COST
         return value
@@ -157,64 +178,79 @@ class Model:
         scores = ((i, self.weight(ws[i])) for i in [i for i, w in enumerate(ws) if w[:n] in heads])
         return len(ws), segments(((i, x) for i, x in scores if x > 0), COST)
 
-    def fit(self, scanned: pd.DataFrame) -> None:
-        """From rows (toxic, n, found) of training documents."""
-        best = np.array([max((s for _, _, s in f), default=0.0) for f in scanned.found])
-        plain = scanned.toxic.to_numpy() == 0
-        self.law = Surprise(best[plain], scanned.n.to_numpy()[plain])
-        x = np.array([summary(f, n, self.law) for f, n in zip(scanned.found, scanned.n)])
-        self.curve = logistic(shape(x), scanned.toxic.to_numpy(float))
-
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(shape(x) @ self.curve, -30, 30)))
 
 
+    def judge(self, text: str | None) -> tuple[float, list[dict]]:
+        """Score and significant passages (in tokens of letters)."""
+        n, found = self.scan(text)
+        each = self.law.of(np.array([s for _, _, s in found]), np.full(len(found), n)) if found else []
+        score = float(self.scores(np.array([summary(found, n, self.law)]))[0])
+        return score, [{"start": s, "end": e, "surprise": float(p)} for (s, e, _), p in zip(found, each) if p >= SEGMENT_SURPRISE]
+
+
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model | None:
     """docs and labels with doc_id; rows with crc32(doc_id as text) mod 3 = 1 are held out."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    scratch = scratch.inner("train")
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     training = scratch.save(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING), "training")
-    rows = docs.select("doc_id", "text").join(F.broadcast(training), "doc_id").select("text", "toxic")
-    counted = rows.mapInPandas(count_features, "feature binary, toxic int, n long")
-    counted = counted.groupBy("feature").agg(*(F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(n) for t, n in ((1, "t"), (0, "o"))))
-    counted = scratch.save(counted.where("t > 1 or octet_length(feature) = 0"), "features")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(training), "doc_id")
+    counted = rows.select("text", "toxic").mapInArrow(count_features, "feature binary, t long, o long")
+    counted = scratch.save(counted.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where("t > 1 or octet_length(feature) = 0"), "features")
     sums = counted.where("octet_length(feature) = 0").first()
     if not sums or not sums.t or not sums.o:
+        scratch.close()
         return None
-    # only those that could be significant leave the executors
-    able = counted.where("octet_length(feature) > 0").where(F.col("t") / sums.t >= 1.5 * F.col("o") / sums.o).orderBy(F.desc("t"), "feature").limit(4 * MAX_FEATURES).toPandas()
-    model = Model(log_odds([bytes(f) for f in able.feature], able.t.to_numpy(float), able.o.to_numpy(float), sums.t, sums.o))
+    model = Model({bytes(r.feature): r.odds for r in significant(counted, sums.t, sums.o).orderBy("feature").toLocalIterator()})
 
-    def scan(batches):
-        for pdf in batches:
-            done = [model.scan(t) for t in pdf.text]
-            yield pd.DataFrame({"toxic": pdf.toxic, "n": [n for n, _ in done], "found": [[s for _, _, s in f] for _, f in done]})
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 2):
+            done = [model.scan(t.as_py()) for t in batch.column(2)]
+            found = pa.array([[float(s) for _, _, s in f] for _, f in done], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in done], pa.int64()), found], ["doc_id", "toxic", "n", "found"])
+
+    scanned = scratch.save(rows.select("doc_id", "toxic", "text").mapInArrow(scan, "doc_id long, toxic int, n long, found array<double>"), "scanned")
+    x, y = F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")), F.coalesce(F.array_max("found"), F.lit(0.0))
+    moments = scanned.where("toxic = 0").agg(*(F.coalesce(F.sum(v), F.lit(0.0)) for v in (F.lit(1.0), x, y, x * x, x * y, y * y))).first()
+    model.law = Surprise(*moments)
 
-    scanned = rows.mapInPandas(scan, "toxic int, n long, found array<double>").toPandas()
-    scanned["found"] = [[(0, 0, float(s)) for s in f] for f in scanned.found]
-    model.fit(scanned)
+    def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [[(0, 0, s) for s in f] for f in pdf.found]
+            v = np.array([summary(f, n, model.law) for f, n in zip(found, pdf.n)]).reshape(-1, 3)
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "toxic": pdf.toxic, "best": v[:, 0], "total": v[:, 1], "share": v[:, 2]})
+
+    # of rows that share a doc_id the most surprising, so there are at most MAX_TRAINING
+    per = scanned.mapInPandas(summaries, "doc_id long, toxic int, best double, total double, share double").groupBy("doc_id", "toxic").agg(F.max(F.struct("best", "total", "share")).alias("v"))
+    per = per.orderBy("doc_id").select("toxic", "v.*").toPandas()
+    model.curve = logistic(shape(per[["best", "total", "share"]].to_numpy()), per.toxic.to_numpy(float))
+    scratch.close()
     return model
 
 
-SCORED = "score double, predicted int, passages array<struct<start:int,end:int,surprise:double>>"
+RATED = "struct<score: double, predicted: int, passages: array<struct<start: int, end: int, surprise: double>>>"
 
 
-def scored(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """docs' columns with score, predicted and the significant passages (in tokens of letters)."""
+def rated(text: Column, model: Model | None) -> Column:
+    """struct(score, predicted, passages) of a column of texts."""
     if model is None:
-        return docs.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("array<struct<start:int,end:int,surprise:double>>").alias("passages"))
+        return F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("array<struct<start:int,end:int,surprise:double>>").alias("passages"))
+    kinds = pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("passages", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surprise", pa.float64())])))])
 
-    def run(batches):
-        for pdf in batches:
-            rows, passages = [], []
-            for text in pdf["_text"]:
-                n, found = model.scan(text)
-                each = model.law.of(np.array([s for _, _, s in found]), np.full(len(found), n)) if found else []
-                rows.append(summary(found, n, model.law))
-                passages.append([{"start": s, "end": e, "surprise": float(p)} for (s, e, _), p in zip(found, each) if p >= SEGMENT_SURPRISE])
-            score = model.scores(np.array(rows, np.float64).reshape(-1, 3)) if rows else np.zeros(0)
-            yield pdf.drop(columns="_text").assign(score=score, predicted=(score >= THRESHOLD).astype("int32"), passages=passages)
-
-    fields = docs.select(*columns).schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [SCORED])
-    return docs.select(*columns, F.col("text").alias("_text")).mapInPandas(run, schema)
+    @F.arrow_udf(RATED)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            done = [model.judge(t.as_py()) for t in part]
+            yield pa.array([{"score": s, "predicted": int(s >= THRESHOLD), "passages": p} for s, p in done], kinds)
+        tidy()
+
+    return run(text.cast("string"))
+
+
+def scored(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
+    """docs' named columns with score, predicted and the significant passages (in tokens of letters)."""
+    name = free("rated", columns)
+    out = docs.select(*map(col, columns), rated(F.col("text"), model).alias(name))
+    return out.select(*map(col, columns), *(F.col(name)[c].alias(c) for c in ("score", "predicted", "passages")))
