@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
@@ -42,6 +42,24 @@ def tidy() -> None:
         trim(0)
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name, or with underscores after it, if columns have it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def prefix(taken: Iterable[str]) -> str:
+    """Underscores that no column's name begins with."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in taken), default=0))
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8, A-Z lower-cased; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, col, free
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -68,9 +68,11 @@ def copies(doc_id: str) -> Column:
 def mix(docs: DataFrame, scratch: Scratch, weights: list[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """The mixed corpus: docs' rows, each as often as it is taken."""
     sized = scratch.save(docs.select("source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
-    goal = scratch.save(targets(sized, list(weights), cap), "targets").withColumnRenamed("source", "_of")
-    out = docs.join(goal.select("_of", F.struct("source_size", "target").alias("_goal")), F.col("source").eqNullSafe(F.col("_of")))
-    rate = F.when(F.col("_goal.source_size") > 0, F.col("_goal.target") / F.col("_goal.source_size")).otherwise(0.0)
+    goal = scratch.save(targets(sized, list(weights), cap), "targets")
+    of, share = free("of", docs.columns), free("share", docs.columns)
+    goal = goal.select(F.col("source").alias(of), F.struct("source_size", "target").alias(share))
+    out = docs.join(goal, F.col("source").eqNullSafe(F.col(of)))
+    rate = F.when(F.col(share)["source_size"] > 0, F.col(share)["target"] / F.col(share)["source_size"]).otherwise(0.0)
     n = F.floor(rate) + F.when(coin(F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)
-    out = out.withColumn("_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n))))
-    return out.select(*docs.columns)
+    out = out.withColumn(free("copy", out.columns), F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n))))
+    return out.select(*map(col, docs.columns))

@@ -11,7 +11,8 @@ Where matches stand: split() by the pattern gives the texts between them, so the
 matches add up to positions, in code points.
 
 Defined cases: a null or empty text has no span. Spans of the battery that overlap a base span are dropped. Rows
-are scanned one by one, also those that share a doc_id. Other columns pass through redact() unchanged.
+are scanned one by one, also those that share a doc_id. Other columns, whatever their names, pass through redact() unchanged.
+Positions add up by blocks and texts are cut by chunks, so that a text of very many matches takes little longer for each.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, col, prefix
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Maximal runs: the lengths asked for may stand in the pattern. For assign they may not, as a short value still uses up its text.
@@ -34,52 +35,102 @@ ENCODINGS = {
 }
 #: For the shares in tokens with letters of one case: ordinary words with numbers in them are nearer to randomness there.
 RATE, LEAST_Z, SHARE_Z, BINS = 0.01, 3.3, 2.5, 600
+#: Bits of the length of a block of numbers, and of a chunk of a text that is cut.
+BLOCK_BITS, CHUNK_BITS = 8, 10
 
 
-def matched(docs: DataFrame) -> DataFrame:
-    """docs with the matches of each kind and, where there are any, the lengths of what lies between them."""
-    out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+def matched(docs: DataFrame, p: str = "_") -> DataFrame:
+    """docs with the matches of each kind and, where there are any, the lengths of what lies between them; p begins the new columns' names."""
+    text = f"{p}text"
+    out = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
     for kind, pattern in zip(KINDS, (ASSIGN, ACCESS, HEX, RANDOM)):
-        out = out.withColumn(f"_{kind}", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
+        out = out.withColumn(p + kind, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     for kind, pattern in zip(KINDS, (ASSIGN, ACCESS, HEX, RANDOM)):
-        gaps = F.transform(F.split("_text", pattern, -1), lambda x: F.char_length(x))
-        out = out.withColumn(f"_{kind}_gaps", F.when(F.size(f"_{kind}") > 0, gaps))
-    return out.drop("_text")
+        gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
+        out = out.withColumn(f"{p}{kind}_gaps", F.when(F.size(p + kind) > 0, gaps))
+    return out.drop(text)
 
 
-def placed(kind: str) -> Column:
-    """array<struct<start, end, token>> of a kind's matches."""
-    m, gaps = F.col(f"_{kind}"), F.col(f"_{kind}_gaps")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out"))
-    steps = F.arrays_zip(m.alias("m"), F.slice(gaps, F.lit(1), F.size(m)).alias("g"))
+def let(value: Column, body) -> Column:
+    """body(value). The value is computed once: the optimizer may put what a column stands for into a lambda, which computes it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["g"]
-        end = start + F.char_length(x["m"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("token")))).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
-    return F.when(F.size(m) > 0, F.aggregate(steps, zero, step, lambda s: s["out"])).otherwise(none)
+def running(values: Column, combine, zero: int) -> Column:
+    """For each number of an array, those before it combined.
+
+    By blocks, whose totals come first: an aggregate copies its state at each step, so one that builds a long array
+    would take the square of its length.
+    """
+
+    def scanned(xs: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda s, x: F.struct(combine(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def by_blocks(v: Column) -> Column:
+        ids = F.sequence(F.lit(0), F.greatest(F.shiftright(F.size(v) - 1, BLOCK_BITS), F.lit(0)))
+        block = lambda i: F.slice(v, F.shiftleft(i, BLOCK_BITS) + 1, F.lit(1 << BLOCK_BITS))
+        totals = F.transform(ids, lambda i: F.aggregate(block(i), F.lit(zero), combine))
+        return let(scanned(totals, F.lit(zero)), lambda starts: F.flatten(F.transform(ids, lambda i: scanned(block(i), F.get(starts, i)))))
+
+    return let(values, by_blocks)
+
+
+def most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def span(start: Column, end: Column, *more: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), *more)
+
+
+def placed(m: Column, gaps: Column) -> Column:
+    """array<struct<start, end, token>> of matches, from the lengths of what lies between them."""
+
+    def by_gaps(g: Column) -> Column:
+        before = running(F.transform(m, lambda x, i: F.get(g, i) + F.char_length(x)), lambda x, y: x + y, 0)
 
+        def one(x: Column, start: Column) -> Column:
+            return span(start, start + F.char_length(x), x.alias("token"))
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+        return let(before, lambda at: F.transform(m, lambda x, i: let(F.get(at, i) + F.get(g, i), lambda start: one(x, start))))
 
+    return F.when(F.size(m) > 0, let(gaps, by_gaps)).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """matched() rows with _base, spans of the base kinds in order, and _tokens, other tokens with p-values."""
+
+def apart(base: Column, tokens: Column) -> Column:
+    """Those of the tokens, which don't overlap each other, that overlap no base span.
+
+    In order of start, a token overlaps an earlier base span if one reaches beyond its start, and a later one only if that comes
+    next: after another token a base span starts beyond the token's end.
+    """
+    event = lambda rank: lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), (x["token"] if rank else F.lit(None).cast("string")).alias("token"))
+    events = F.array_sort(F.concat(F.transform(base, event(0)), F.transform(tokens, event(1))))
+
+    def kept(e: Column, reach: Column) -> Column:
+        def free_(x: Column, i: Column) -> Column:
+            after = lambda y: y.isNull() | (y["rank"] == 1) | (y["start"] >= x["end"])
+            return (x["rank"] == 1) & (x["start"] >= F.get(reach, i)) & after(F.get(e, i + 1))
+
+        return F.transform(F.filter(e, free_), lambda x: span(x["start"], x["end"], x["token"].alias("token")))
+
+    ends = lambda e: F.transform(e, lambda x: F.when(x["rank"] == 0, x["end"]).otherwise(0))
+    return F.when(F.size(tokens) > 0, let(events, lambda e: let(running(ends(e), most, 0), lambda reach: kept(e, reach)))).otherwise(tokens)
+
+
+def candidates(rows: DataFrame, p: str = "_") -> DataFrame:
+    """matched() rows with base, spans of the base kinds in order, and tokens, other tokens with p-values."""
     out = rows
     for kind in KINDS:
-        out = out.withColumn(f"_{kind}", placed(kind)).drop(f"_{kind}_gaps")
+        out = out.withColumn(p + kind, placed(F.col(p + kind), F.col(f"{p}{kind}_gaps"))).drop(f"{p}{kind}_gaps")
     value = F.regexp_extract  # group 2 of the match
-    out = out.withColumn("_assign", F.filter("_assign", lambda x: F.char_length(value(x["token"], ASSIGN, 2)) >= 6))
-    spans = [F.transform(f"_{kind}", ranked(r)) for r, kind in enumerate(KINDS[:3])]
-    out = out.withColumn("_base", F.array_sort(F.concat(*spans)))
-    free = F.filter("_random", lambda t: ~F.exists("_base", lambda b: overlaps(t, b)))
-    out = out.withColumn("_random", F.filter(free, lambda t: encoding(t["token"]).isNotNull()))
-    tested = F.transform("_random", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), p_value(t["token"]).alias("p")))
-    out = out.withColumn("_tokens", tested)
-    return out.drop("_random", *(f"_{k}" for k in KINDS))
+    out = out.withColumn(f"{p}assign", F.filter(f"{p}assign", lambda x: F.char_length(value(x["token"], ASSIGN, 2)) >= 6))
+    spans = [F.transform(p + kind, ranked(r)) for r, kind in enumerate(KINDS[:3])]
+    out = out.withColumn(f"{p}base", F.array_sort(F.concat(*spans)))
+    out = out.withColumn(f"{p}random", F.filter(f"{p}random", lambda t: encoding(t["token"]).isNotNull()))
+    out = out.withColumn(f"{p}random", apart(F.col(f"{p}base"), F.col(f"{p}random")))
+    tested = F.transform(f"{p}random", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), p_value(t["token"]).alias("p")))
+    return out.withColumn(f"{p}tokens", tested).drop(*(p + k for k in KINDS))
 
 
 def ranked(rank: int):
@@ -180,10 +231,10 @@ def cutoff(tokens: DataFrame) -> float:
     return best
 
 
-def spans_of(tested: DataFrame, limit: float) -> DataFrame:
-    """candidates() rows with _spans: all spans in order of start, then kind."""
-    extra = F.transform(F.filter("_tokens", lambda t: t["p"] <= limit), ranked(3))
-    return tested.withColumn("_spans", F.array_sort(F.concat("_base", extra))).drop("_tokens")
+def spans_of(tested: DataFrame, limit: float, p: str = "_") -> DataFrame:
+    """candidates() rows with spans: all spans in order of start, then kind."""
+    extra = F.transform(F.filter(f"{p}tokens", lambda t: t["p"] <= limit), ranked(3))
+    return tested.withColumn(f"{p}spans", F.array_sort(F.concat(f"{p}base", extra)))
 
 
 def written(spans: Column) -> Column:
@@ -193,35 +244,46 @@ def written(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans)."""
+    """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_tested); n_tested: tokens that were put to the battery."""
     tested = scratch.save(candidates(matched(docs.select("doc_id", "text"))).select("doc_id", "_base", "_tokens"), "tested")
     limit = cutoff(tested.select(F.explode("_tokens").alias("t")).select("t.p"))
     out = spans_of(tested, limit)
     counts = [F.size(F.filter("_base", of_kind(r))).cast("long").alias(f"n_{kind}") for r, kind in enumerate(KINDS[:3])]
-    return out.select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"), F.size("_tokens").cast("long").alias("n_tested"))
 
 
 def redact(docs: DataFrame, scratch: Scratch, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its text replaced by a mark (overlapping and touching spans by one)."""
-    names = docs.columns
-    tested = candidates(matched(docs))
-    tokens = scratch.save(candidates(matched(docs.select("text"))).select(F.explode("_tokens").alias("t")).select("t.p"), "tokens")
-    out = spans_of(tested, cutoff(tokens))
-    merged = F.aggregate(
-        "_spans",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    out = out.withColumn("_spans", merged)
-    n = F.size("_spans")
-    left = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("text"), _at(i, "end", F.lit(0)) + 1, _until(i, n) - _at(i, "end", F.lit(0))))
-    return out.withColumn("text", F.when(n > 0, F.array_join(left, mark)).otherwise(F.col("text"))).select(*names)
-
-
-def _at(i: Column, field: str, first: Column) -> Column:
-    """The end of the span before gap i, or the text's start."""
-    return F.when(i == 0, first).otherwise(F.get(F.col("_spans"), i - 1)[field])
-
-
-def _until(i: Column, n: Column) -> Column:
-    return F.when(i == n, F.char_length("text")).otherwise(F.get(F.col("_spans"), i)["start"])
+    """docs with every span of its text replaced by a mark (overlapping and touching spans by one). Texts are scanned once."""
+    p = prefix(docs.columns)
+    tested = scratch.save(candidates(matched(docs, p), p), "tested")
+    out = spans_of(tested, cutoff(tested.select(F.explode(f"{p}tokens").alias("t")).select("t.p")), p)
+    text = F.col("text").cast("string")
+    out = out.withColumn(f"{p}spans", joined(F.col(f"{p}spans")))
+    n = F.size(f"{p}spans")
+    out = out.withColumn(f"{p}chunks", F.when(n > 0, F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % (1 << CHUNK_BITS)), F.lit(0))))
+    begin = lambda spans, i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+    end = lambda spans, i: F.when(i < F.size(spans), F.get(spans, i)["start"]).otherwise(F.char_length(text))
+    pieces = lambda chunks, spans: F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: between(chunks, begin(spans, i), end(spans, i)))
+    left = let(F.col(f"{p}chunks"), lambda chunks: let(F.col(f"{p}spans"), lambda spans: pieces(chunks, spans)))
+    redacted = F.when(n > 0, F.array_join(left, mark)).otherwise(text)
+    return out.select(*(redacted.alias(c) if c == "text" else col(c) for c in docs.columns))
+
+
+def joined(spans: Column) -> Column:
+    """The union of sorted spans, as array<struct<start, end>>; touching ones are one."""
+    ends = F.transform(spans, lambda s: s["end"])
+    first = lambda reach: F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.get(reach, i).alias("before"))), lambda r: r["start"] > r["before"])
+    last = F.coalesce(F.array_max(ends), F.lit(0))
+
+    def closed(runs: Column) -> Column:
+        return F.transform(runs, lambda r, i: span(r["start"], F.coalesce(F.get(runs, i + 1)["before"], last)))
+
+    return let(running(ends, most, -1), lambda reach: let(first(reach), closed))
+
+
+def between(chunks: Column, a: Column, b: Column) -> Column:
+    """The characters from a to b of a text in chunks: each step looks at the chunks it needs, not at the text before them."""
+    i, j = F.shiftright(a, CHUNK_BITS), F.shiftright(b - 1, CHUNK_BITS)
+    at, size = a - F.shiftleft(i, CHUNK_BITS) + 1, F.lit(1 << CHUNK_BITS)
+    over = F.concat(F.substring(F.get(chunks, i), at, size), F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), F.substring(F.get(chunks, j), F.lit(1), b - F.shiftleft(j, CHUNK_BITS)))
+    return F.when(b <= a, "").when(i == j, F.substring(F.get(chunks, i), at, b - a)).otherwise(over)
