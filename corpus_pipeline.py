@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnset.llm import minhash, mixing, packing, secrets, toxicity
-from cairnset.llm.common import Scratch
+from cairnset.llm.common import Scratch, col, free
 from cairnset.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on labelled rows, doesn't reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "toxicity"))
-    return toxicity.scored(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    return docs.where(toxicity.rated(docs["text"], model)["predicted"] == 0)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and every document without doc_id."""
     near = minhash.near_duplicates(docs, Scratch(spark, "minhash"))
     kept = docs.join(near.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    # rows that share a doc_id are one group
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.lit(0)))
-    kept = kept.withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    # rows that share a doc_id are one group; each task first keeps one of its own, and no further exchange is needed
+    nth = free("nth", docs.columns)
+    kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(nth) == 1)
+    return kept.select(*map(col, docs.columns)).union(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
