@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from abc import ABC, abstractmethod
 from typing import Any
 
@@ -124,9 +125,9 @@ def find(name: str, params: dict[str, Any], raw: bool = False) -> Codec:
     if raw:
         return RawCodec(name, params)
     known = REGISTRY.get(name)
-    if known is None and name.endswith("_numpy") and params.keys() == {"shape", "dtype"}:
+    if known is None and re.fullmatch("[a-z0-9]+_numpy", name) and params.keys() == {"shape", "dtype"}:
         known = NumpyCodec
-    if known is None and name.endswith("bytes") and not params:
+    if known is None and re.fullmatch("[a-z0-9]+_bytes", name) and not params:
         known = BytesCodec
     if known is None:
         raise SchemaError(f"no codec named {name!r} is registered; define a subclass of Codec with that name, or read objects as bytes")

@@ -24,16 +24,59 @@ class Store:
         return Layout(self.root, self.blobs_in_dataset, self.trim, self.replacement)
 
 
+@dataclass(frozen=True)
+class Client:
+    """Of the object store: 0 and "" leave a setting as it is. Hadoop's client and the executors' Arrow client both follow it."""
+
+    region: str = ""
+    connections: int = 0
+    read_timeout: float = 0
+    connect_timeout: float = 0
+    attempts: int = 0
+
+    def apply(self, spark: SparkSession) -> None:
+        """Into the session's Hadoop settings."""
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        found = {
+            "fs.s3a.endpoint.region": self.region,
+            "fs.s3a.connection.maximum": self.connections,
+            "fs.s3a.connection.timeout": f"{int(self.read_timeout * 1000)}ms" if self.read_timeout else "",
+            "fs.s3a.connection.establish.timeout": f"{int(self.connect_timeout * 1000)}ms" if self.connect_timeout else "",
+            "fs.s3a.attempts.maximum": self.attempts,
+        }
+        for name, value in found.items():
+            if value:
+                conf.set(name, str(value))
+
+
+@dataclass(frozen=True)
+class Download:
+    """Of whole files into a local cache."""
+
+    folder: str = ""
+    attempts: int = 3
+    timeout: float = 300.0
+
+
 @dataclass(frozen=True)
 class Config:
     object_store: Store | None = None
     filesystems: dict[str, Store] = field(default_factory=dict)
+    client: Client = Client()
+    download: Download = Download()
+    raw: dict = field(default_factory=dict)  # the whole file, for extensions' own sections, such as a tracker's
 
     @classmethod
     def from_dict(cls, data: dict) -> Config:
-        """{"object_store": {"root": ...}, "filesystems": {name: {"root": ...}}}"""
+        """{"object_store": {"root": ...}, "filesystems": {name: {"root": ...}}, "client": {...}, "download": {...}, ...}"""
         store = data.get("object_store")
-        return cls(Store(**store) if store else None, {name: Store(**s) for name, s in data.get("filesystems", {}).items()})
+        stores = {name: Store(**s) for name, s in data.get("filesystems", {}).items()}
+        return cls(Store(**store) if store else None, stores, Client(**data.get("client", {})), Download(**data.get("download", {})), data)
+
+    def section(self, name: str) -> dict:
+        if name not in self.raw:
+            raise ValueError(f"the configuration has no section {name!r}")
+        return self.raw[name]
 
     @classmethod
     def load(cls, spark: SparkSession | None = None, path: str | None = None) -> Config:

@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions.pointers import pack_value, unpack_value
-from ..sources.files import arrow_store
+from ..sources.cache import FileCache, copy_out
+from ..sources.files import arrow_options, arrow_store
 
 
 class BlobWriter:
     """add(column, data) -> pointer. Each column has an open file, closed once it has `rows` rows or `size` bytes or more."""
 
-    def __init__(self, folder: str, rows: int | None = None, size: int | None = None):
-        self.store, self.folder = arrow_store(folder)
+    def __init__(self, folder: str, rows: int | None = None, size: int | None = None, options: dict | None = None):
+        self.store, self.folder = arrow_store(folder, options)
         self.rows, self.size = rows, size
         self.open: dict[str, list] = {}  # column -> [file's uuid, stream, bytes, rows]
 
@@ -55,14 +56,21 @@ class BlobWriter:
 
 
 class BlobReader:
-    """Reads values by pointer; keeps the last few files open."""
+    """Reads values by pointer; keeps the last few files open. cache: a folder of the executor that whole files are first copied to."""
 
     OPEN = 16
 
-    def __init__(self, folder: str):
-        self.store, self.folder = arrow_store(folder)
+    def __init__(self, folder: str, options: dict | None = None, cache: str | None = None):
+        self.store, self.folder = arrow_store(folder, options)
+        self.cache = FileCache(cache) if cache else None
         self.files: OrderedDict = OrderedDict()
 
+    def _open(self, file_id: str):
+        path = f"{self.folder}/{file_id}"
+        if self.cache is None:
+            return self.store.open_input_file(path)
+        return pa.OSFile(self.cache.get(path, lambda to: copy_out(self.store, path, to)))
+
     def read(self, pointer: bytes | None) -> bytes | None:
         if pointer is None:
             return None
@@ -71,11 +79,12 @@ class BlobReader:
             return b""
         f = self.files.get(file_id)
         if f is None:
-            f = self.files[file_id] = self.store.open_input_file(f"{self.folder}/{file_id}")
+            f = self.files[file_id] = self._open(file_id)
             if len(self.files) > self.OPEN:
                 self.files.popitem(last=False)[1].close()
         self.files.move_to_end(file_id)
-        data = f.read_at(size, offset)
+        f.seek(offset)
+        data = f.read(size)
         if len(data) != size:
             raise OSError(f"blob file {file_id} ends before {offset} + {size}")
         return data
@@ -90,7 +99,7 @@ def write_blobs(df: DataFrame, columns: Sequence[str], folder: str, split: str |
     """df with the values of binary columns replaced by pointers; in row order, so sort before. Rows of different splits share no file."""
     if not columns:
         return df
-    at = [df.columns.index(c) for c in columns]
+    at, options = [df.columns.index(c) for c in columns], arrow_options(df.sparkSession, folder)
     split_at = df.columns.index(split) if split else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +112,7 @@ def write_blobs(df: DataFrame, columns: Sequence[str], folder: str, split: str |
                     out = []
                     for s, value in zip(splits, batch.column(i)):
                         if s not in writers:
-                            writers[s] = BlobWriter(folder, rows, size)
+                            writers[s] = BlobWriter(folder, rows, size, options)
                         out.append(writers[s].add(name, value.as_py()))
                     arrays[i] = pa.array(out, batch.schema.field(i).type)
                 yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
@@ -114,15 +123,18 @@ def write_blobs(df: DataFrame, columns: Sequence[str], folder: str, split: str |
     return df.mapInArrow(run, df.schema)
 
 
-def resolve(df: DataFrame, columns: Sequence[str], folder: str) -> DataFrame:
-    """df with pointers replaced by their values. Done last, over selected columns only; each file is read in order of offset."""
+def resolve(df: DataFrame, columns: Sequence[str], folder: str, cache: str | None = None) -> DataFrame:
+    """df with pointers replaced by their values. Done last, over selected columns only; each file is read in order of offset.
+
+    cache: see BlobReader; for files that are read again and again, as by look-ups of single rows.
+    """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    at = [df.columns.index(c) for c in columns]
+    at, options = [df.columns.index(c) for c in columns], arrow_options(df.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = BlobReader(folder)
+        reader = BlobReader(folder, options, cache)
         try:
             for batch in batches:
                 arrays = list(batch.columns)

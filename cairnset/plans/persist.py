@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from abc import ABC, abstractmethod
 from collections.abc import Iterable, Sequence
 from typing import Any
 
@@ -35,13 +36,19 @@ def from_rdd(spark: SparkSession, rdd: Any, schema: DatasetSchema) -> DataFrame:
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys..., n) for keys of several rows. One shuffle with partial counts; only the keys are read."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    """(keys..., n) for keys of several rows; _n if a key is named n. One shuffle with partial counts; only the keys are read."""
+    n = "_n" if "n" in keys else "n"
+    return df.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > 1)
+
+
+def refuse_repeated(df: DataFrame, keys: Sequence[str]) -> None:
+    if again := repeated_keys(df, keys).limit(3).collect():
+        raise DatasetError(f"keys of several rows, among them {[tuple(r)[:-1] for r in again]}")
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: rows and distinct_keys."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_keys"))
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_keys"))
 
 
 def split_counts(df: DataFrame, split: str = SPLIT) -> DataFrame:
@@ -75,10 +82,9 @@ def persist(
         df = df.withColumnRenamed(split, SPLIT)
     df = frames.enforce(frames.conform(df, schema, (SPLIT,)), schema)
     keys = [SPLIT, *schema.primary_keys]
-    total, most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()  # one pass over the keys
-    if most and most > 1:
-        again = repeated_keys(df, keys).limit(3).collect()
-        raise DatasetError(f"keys of several rows, among them {[tuple(r)[:-1] for r in again]}")
+    total, most = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.max("_n")).first()  # one pass over the keys
+    if most and most > 1:  # before blobs are written
+        refuse_repeated(df, keys)
 
     attempt = f"{layout.temporary(id)}/persist-{uuid.uuid4().hex}"
     try:
@@ -97,6 +103,22 @@ def persist(
     return counts
 
 
+class Persistor(ABC):
+    """What an extension for another way to write versions implements."""
+
+    @abstractmethod
+    def persist(self, source: DataFrame | Iterable[tuple[str, dict[str, Any]]], id: DatasetID, schema: DatasetSchema, layout: Layout, **options: Any) -> dict[str, int]:
+        """Write a version; rows per split."""
+
+
+class SparkPersistor(Persistor):
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def persist(self, source: DataFrame | Iterable[tuple[str, dict[str, Any]]], id: DatasetID, schema: DatasetSchema, layout: Layout, **options: Any) -> dict[str, int]:
+        return persist(source, id, schema, layout, spark=self.spark, **options)
+
+
 def _write(df: DataFrame, schema: DatasetSchema, layout: Layout, id: DatasetID, attempt: str, blob_rows: int | None, blob_bytes: int | None, partitions: int) -> dict[str, int]:
     spark = df.sparkSession
     ordered = positions.key_ordered(df, SPLIT, schema.primary_keys, partitions)
@@ -105,6 +127,7 @@ def _write(df: DataFrame, schema: DatasetSchema, layout: Layout, id: DatasetID,
     placed = positions.with_place(ordered)
     placed.write.parquet(f"{attempt}/placed")
     placed = spark.read.schema(placed.schema).parquet(f"{attempt}/placed")
+    refuse_repeated(placed, [SPLIT, *schema.primary_keys])  # again, on what was written: the source may give other rows each time
     counts = {check_split(r[SPLIT]): r.n for r in split_counts(placed).orderBy(SPLIT).collect()}  # a row for each split
     indexed = positions.numbered(placed, SPLIT, INDEX)
     for name in counts:

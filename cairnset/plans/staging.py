@@ -5,10 +5,11 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +31,31 @@ def staged_path(layout: Layout, id: DatasetID) -> str:
 
 
 def stage(df: DataFrame, id: DatasetID, schema: DatasetSchema, layout: Layout, sequence: int | None = None) -> None:
-    """Append rows (split and the schema's columns). Later sequences win; by default, the time in microseconds."""
+    """Append rows (split and the schema's columns). Later sequences win; by default, the time in microseconds.
+
+    Each call writes a folder of its own and then renames it, so any number of writers may work at once, and a reader sees whole
+    batches only.
+    """
     sequence = time.time_ns() // 1000 if sequence is None else sequence
     df = frames.enforce(frames.conform(df, schema, (SPLIT,)), schema)
     df = df.withColumn(SEQUENCE, F.lit(sequence).cast("long"))
-    df.write.mode("append").parquet(staged_path(layout, id))
-    schema_path = f"{layout.temporary(id)}/schema.json"
-    if not files.exists(df.sparkSession, schema_path):
-        files.write_text(df.sparkSession, schema_path, dumps(schema))
+    own = uuid.uuid4().hex
+    df.write.parquet(f"{layout.temporary(id)}/pending/{own}")
+    files.rename(df.sparkSession, f"{layout.temporary(id)}/pending/{own}", f"{staged_path(layout, id)}/{own}")
+    state_schema(df.sparkSession, id, schema, layout)
+
+
+def state_schema(spark: SparkSession, id: DatasetID, schema: DatasetSchema, layout: Layout) -> None:
+    """Write the staged rows' schema, if none is there."""
+    path = f"{layout.temporary(id)}/schema.json"
+    if not files.exists(spark, path):
+        files.publish_text(spark, path, dumps(schema))
 
 
 def staged(spark: SparkSession, id: DatasetID, layout: Layout) -> DataFrame:
     if not files.exists(spark, staged_path(layout, id)):
         raise DatasetError(f"{id} has no staged rows")
-    return spark.read.parquet(staged_path(layout, id))
+    return spark.read.option("recursiveFileLookup", "true").parquet(staged_path(layout, id))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Any]) -> DataFrame:
@@ -76,6 +88,24 @@ def jobs(df: DataFrame, keys: list[str], size: int = 16384, split: str = SPLIT)
     return with_position(df, split, keys, scratch, "_idx").withColumn("job_id", job(F.col("_idx"), size)).drop("_idx")
 
 
+def run_jobs(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], result: str, size: int = 16384, split: str = SPLIT) -> DataFrame:
+    """(split, job_id, and the columns of result): work() over each job's rows in key order, on the executors.
+
+    result: the columns that work() returns, as DDL. A job has at most `size` rows, so it fits a task. What jobs return is
+    gathered by ordering on split and job_id.
+    """
+    numbered = jobs(df, keys, size, split)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[split].iloc[0], pdf["job_id"].iloc[0]
+        out = work(pdf.sort_values([split, *keys]).drop(columns="job_id").reset_index(drop=True))
+        out.insert(0, "job_id", at[1])
+        out.insert(0, split, at[0])
+        return out
+
+    return numbered.groupBy(split, "job_id").applyInPandas(run, f"`{split}` string, job_id long, {result}")
+
+
 class StagingWriter:
     """Rows one by one: checked at once, staged in batches by a few threads. A context manager; leaving it flushes.
 
@@ -90,6 +120,7 @@ class StagingWriter:
         self.slots = threading.BoundedSemaphore(pending)
         self.futures: list[Future] = []
         self.sequence = time.time_ns() // 1000
+        state_schema(spark, id, schema, layout)
 
     def add(self, split: str, row: Mapping[str, Any]) -> None:
         from ..operators.rows import parse

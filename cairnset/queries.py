@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -253,17 +253,51 @@ def blob_layout_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "doc_id", F.col("p.size").alias("size"), "file_no", F.col("p.offset").alias("offset"))
 
 
-@query("select doc_id, text, strlen(text)::bigint as n_bytes from documents where lang = 'en'")
+def splits(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Of the documents: their languages, a few."""
+    return [r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").collect()]
+
+
+@query("select lang, doc_id, text, strlen(text)::bigint as n_bytes from documents")
 def blob_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dataset(spark, sf_dir, "documents", "en", columns=["doc_id", "body"]).df
-    return found.select("doc_id", F.decode("body", "UTF-8").alias("text"), F.octet_length("body").cast("long").alias("n_bytes"))
+    found = [dataset(spark, sf_dir, "documents", lang, columns=["doc_id", "body"]).df.withColumn("lang", F.lit(lang)) for lang in splits(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, found).select("lang", "doc_id", F.decode("body", "UTF-8").alias("text"), F.octet_length("body").cast("long").alias("n_bytes"))
 
 
-@query("select doc_id, md5(text) as digest from documents where lang = 'en' and source = 'src3'")
+@query("select doc_id, md5(text) as digest from documents where source = 'src3'")
 def blob_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects as bytes, without codecs; only the blobs of rows that pass the filter are read."""
-    found = dataset(spark, sf_dir, "documents", "en", columns=["doc_id", "body"], filters=[("source", "=", "src3")], raw=True).df
-    return found.select("doc_id", F.md5("body").alias("digest"))
+    found = [dataset(spark, sf_dir, "documents", lang, columns=["doc_id", "body"], filters=[("source", "=", "src3")], raw=True).df for lang in splits(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, found).select("doc_id", F.md5("body").alias("digest"))
+
+
+@query("select doc_id, lang, source from documents where lang = 'en'")
+def pointer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blob columns alone are pointers, 29 bytes each; with the keys they join the others again."""
+    found = dataset(spark, sf_dir, "documents", "en", columns=["doc_id", "body"])
+    own = found.pointers().where(F.octet_length("body") == 29).select("doc_id")
+    return own.join(dataset(spark, sf_dir, "documents", "en").metadata(), "doc_id").select("doc_id", "lang", "source")
+
+
+@query("select split, job_id, count(*) as n, min(event_id) as first, max(event_id) as last from (select split, event_id, (row_number() over (partition by split order by event_id) - 1) // 500 as job_id from (select event_id, case when event_id % 2 = 0 then 'train' else 'test' end as split from events)) group by all")
+def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs run on the executors; each returns one row."""
+    import pandas as pd
+
+    rows = events_rows(spark, sf_dir).select(P.SPLIT, "event_id")
+    work = lambda pdf: pd.DataFrame({"n": [len(pdf)], "first": [pdf["event_id"].iloc[0]], "last": [pdf["event_id"].iloc[-1]]})
+    return staging.run_jobs(rows, ["event_id"], work, "n long, first long, last long", 500)
+
+
+@query("select split, key, row_number() over (order by split || '//' || key) - 1 as pos, location, size from (select case when c_custkey % 2 = 0 then 'train' else 'test' end as split, c_custkey::varchar as key, 'at/' || c_custkey as location, c_custkey * 3 as size from customer)")
+def metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of staged rows in a key-value store, spread over shards, merged in order of their keys as text."""
+    from .plans.metadata import KeyValueMetadata, MemoryClient, Note
+
+    store, id = KeyValueMetadata(MemoryClient(), page=100), DatasetID("customers", "1.0.0")
+    rows = table(spark, sf_dir, "customer").select("c_custkey").toLocalIterator()
+    store.save(id, (Note("train" if r.c_custkey % 2 == 0 else "test", (r.c_custkey,), f"at/{r.c_custkey}", r.c_custkey * 3) for r in rows))
+    return spark.createDataFrame([(n.split, str(n.keys[0]), i, n.location, n.size) for i, n in enumerate(store.scan_sorted(id))], "split string, key string, pos long, location string, size long")
 
 
 @query("select doc_id, '00112233-4455-6677-8899-aabbccddeeff' as file_id, doc_id * 65537 as \"offset\", strlen(text)::bigint as size, 29 as length from documents")
@@ -273,11 +307,10 @@ def pointer_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", pointers.unpack(F.col("p")).alias("u"), F.octet_length("p").alias("length")).select("doc_id", "u.*", "length")
 
 
-@query("select lang, sum(strlen(text))::bigint as blob_bytes from documents where lang in ('en', 'de') group by lang")
+@query("select lang, sum(strlen(text))::bigint as blob_bytes from documents group by lang")
 def dataset_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of blob files only: the index's bytes depend on its encoding."""
-    langs = [r.lang for r in table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de")).select("lang").distinct().collect()]
-    return spark.createDataFrame([(lang, dataset(spark, sf_dir, "documents", lang).blob_bytes()) for lang in langs], "lang string, blob_bytes long")
+    return spark.createDataFrame([(lang, dataset(spark, sf_dir, "documents", lang).blob_bytes()) for lang in splits(spark, sf_dir)], "lang string, blob_bytes long")
 
 
 @query("select vec_id, len(embedding)::int as n, len(embedding) = 64 as fits, list_sum(embedding[1:1])::double as first from embeddings")

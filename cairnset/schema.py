@@ -22,6 +22,10 @@ KEY_KINDS = ("int", "long", "string", "bool")
 
 SPARK = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType(), "bool": T.BooleanType(), "float": T.FloatType(), "double": T.DoubleType(), "object": T.BinaryType()}
 _NAME = re.compile(r"[a-zA-Z][0-9a-zA-Z_]*")
+#: The tag that says what bytes hold. Older files put a prefix of small letters and digits into its name.
+_METATYPE = re.compile(r"_(?:[a-z0-9]+_)?metatype")
+#: Names in a field's JSON that are not users' tags, beside those that begin with an underscore.
+_RESERVED = ("name", "type", "fields", "items")
 
 
 @dataclass(frozen=True)
@@ -36,11 +40,13 @@ class Field:
     element: Field | None = None
     codec: Codec | None = None
     blob: bool = field(default=False, compare=False)
-    tags: dict[str, Any] = field(default_factory=dict, compare=False, hash=False)
+    tags: dict[str, Any] = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
         if not _NAME.fullmatch(self.name):
             raise ValueError(f"a field's name starts with a letter and has letters, digits and underscores only: {self.name!r}")
+        if bad := [t for t in self.tags if t in _RESERVED or t.startswith("_")]:
+            raise ValueError(f"{self.name}: the schema's own names can't be tags: {bad}")
         if self.kind == "record" and any(f.blob for f in self.fields):
             raise SchemaError(f"{self.name}: a record can't hold blob fields")
         if self.kind == "array" and self.element.blob:
@@ -97,16 +103,34 @@ def ArrayField(element: Field, required: bool = True) -> Field:
     return Field("array", element.name, "", required, element=element)
 
 
-def ObjectField(name: str, codec: Codec, description: str = "", required: bool = True, blob: bool = True) -> Field:
-    return Field("object", name, description, required, codec=codec, blob=blob)
+def ObjectField(name: str, codec: Codec, description: str = "", required: bool = True, blob: bool = True, tags: dict[str, Any] | None = None) -> Field:
+    return Field("object", name, description, required, codec=codec, blob=blob, tags=tags or {})
 
 
-def NumpyField(name: str, shape: Sequence[int] | None, dtype: str, description: str = "", required: bool = True, blob: bool = True) -> Field:
-    return ObjectField(name, NumpyCodec(shape, dtype), description, required, blob)
+def NumpyField(name: str, shape: Sequence[int] | None, dtype: str, description: str = "", required: bool = True, blob: bool = True, tags: dict[str, Any] | None = None) -> Field:
+    return ObjectField(name, NumpyCodec(shape, dtype), description, required, blob, tags)
 
 
-def BytesField(name: str, description: str = "", required: bool = True, blob: bool = True) -> Field:
-    return ObjectField(name, BytesCodec(), description, required, blob)
+def BytesField(name: str, description: str = "", required: bool = True, blob: bool = True, tags: dict[str, Any] | None = None) -> Field:
+    return ObjectField(name, BytesCodec(), description, required, blob, tags)
+
+
+class SchemaVisitor:
+    """A walk over fields: an extension overrides the methods of the kinds it treats apart; results of inner fields are passed on.
+
+    visit() calls the method named as the field's kind (int, long, string, bool, float, double, object, record or array).
+    """
+
+    def visit(self, f: Field) -> Any:
+        inner = [self.visit(g) for g in f.fields] if f.kind == "record" else [self.visit(f.element)] if f.kind == "array" else []
+        return getattr(self, f.kind, self.other)(f, inner)
+
+    def other(self, f: Field, inner: list[Any]) -> Any:
+        """Of kinds without a method."""
+        raise SchemaError(f"{type(self).__name__} has no method for {f.kind} fields")
+
+    def visit_schema(self, schema: DatasetSchema) -> list[Any]:
+        return [self.visit(f) for f in schema.fields]
 
 
 class DatasetSchema:
@@ -206,7 +230,8 @@ def _from_avro(data: dict[str, Any], raw: bool) -> Field:
         kind, required = kind[1], False
     if isinstance(kind, dict) and kind["type"] == "array":
         return ArrayField(_from_avro(kind | {"type": kind["items"]}, raw), required=required)
-    common = {"name": data["name"], "description": data.get("_description", ""), "required": required}
+    tags = {k: v for k, v in data.items() if k not in _RESERVED and not k.startswith("_")}
+    common = {"name": data["name"], "description": data.get("_description", ""), "required": required, "tags": tags}
     if isinstance(kind, dict) and kind["type"] == "record":
         return RecordField(fields=[_from_avro(f, raw) for f in kind["fields"]], **common)
     for own, avro in AVRO.items():
@@ -214,8 +239,8 @@ def _from_avro(data: dict[str, Any], raw: bool) -> Field:
             return Field(own, **common)
     if kind != "bytes":
         raise SchemaError(f"unknown type: {kind}")
-    # older schemas prefix this tag's name, and have tags of their own for arrays and bytes; without a flag, values are inline
-    metatype = next((v for k, v in data.items() if k.endswith("_metatype")), None)
+    # older schemas have metatypes of their own for arrays and bytes; without a flag, values are inline
+    metatype = next((v for k, v in data.items() if _METATYPE.fullmatch(k)), None)
     blob = data.get("_is_heavy_pointer", False)
     if metatype == "object":
         return ObjectField(codec=codecs.find(data["_codec_name"], json.loads(data["_codec_params"]), raw), blob=blob, **common)

@@ -26,7 +26,9 @@ RANGE = 1 << 16
 class Dataset:
     """One split. Filters apply before positions, so position i is that of the i-th row that passes."""
 
-    def __init__(self, spark: SparkSession, layout: Layout, id: DatasetID, split: str, columns: Sequence[str] | None = None, filters: Any = None, raw: bool = False):
+    def __init__(self, spark: SparkSession, layout: Layout, id: DatasetID, split: str, columns: Sequence[str] | None = None, filters: Any = None, raw: bool = False, cache: str | None = None):
+        """cache: a folder of each executor that blob files are copied to before they are read, for repeated look-ups."""
+        self.cache = cache
         self.spark, self.layout, self.id, self.split_name, self.raw = spark, layout, id, split, raw
         self.path = layout.split(id, split)
         if not exists(spark, self.path):
@@ -57,7 +59,7 @@ class Dataset:
         return df.select(*[c for c in df.columns if c == INDEX], *self.columns)
 
     def _resolved(self, df: DataFrame) -> DataFrame:
-        return resolve(df, [c for c in self.full_schema.blob_columns if c in self.columns], self.layout.blobs(self.id.name))
+        return resolve(df, [c for c in self.full_schema.blob_columns if c in self.columns], self.layout.blobs(self.id.name), self.cache)
 
     @property
     def df(self) -> DataFrame:
@@ -151,5 +153,8 @@ class Dataset:
 
 def build_dataset(spark: SparkSession, kind: str, name: str, version: str, split: str, store: str = "", columns: Sequence[str] | None = None, raw: bool = False, filters: Any = None, config: Config | None = None) -> Dataset:
     """A split of a dataset in a configured store; kind: object_store or filesystem."""
-    found = (config or Config.load(spark)).store(kind, store)
-    return Dataset(spark, found.layout(), DatasetID(name, version), split, columns, filters, raw)
+    config = config or Config.load(spark)
+    found = config.store(kind, store)
+    if kind == "object_store":
+        config.client.apply(spark)
+    return Dataset(spark, found.layout(), DatasetID(name, version), split, columns, filters, raw, config.download.folder or None)
