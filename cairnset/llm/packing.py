@@ -1,15 +1,21 @@
-"""Best-fit packing of token sequences, in rounds on the driver over classes of equal lengths and gaps.
-
-Pieces have lengths from 1 to `capacity`, so a superstep handles all pieces of one length at once, longest
-first. Gaps are kept in order of size, as classes of sequences filled alike; a successor sweep gives the pieces
-the smallest gaps that hold them, by rank; what is left opens new sequences; the gaps are updated and the next
-round follows. A round sees only how many pieces there are of each length: at most `capacity` numbers, whatever
-the corpus's size. It leaves runs (length, first rank, pieces, first sequence, offset), and each piece finds its
-run by its rank among the pieces of its length, which the executors count in two levels. The result is that of
-best-fit decreasing.
-
-Defined cases: a null or empty text is one piece of the id 0. Ties (equal lengths) go by a hash of doc_id and
-piece, then by themselves; repeated rows are packed each, as documents of their own. Other columns are not read.
+"""Best-fit packing of token sequences in bulk-synchronous rounds.
+
+A round takes the pieces of a band of lengths, longest bands first, and all gaps that one of them could fit. Pieces and
+gaps are range-sorted together by size; a sweep in that order counts, for each piece, the pieces before it and the
+places before it in gaps too small for it. The successor of piece i, the first gap from its size on, is what the sweep has
+not passed yet; where several pieces want the same gap, ranks decide: piece i gets place i + max(places passed - rank) over
+the pieces up to i. The running maxima of the partitions are put together from one row each. A gap counts as many
+places as pieces of the band surely fit it, and one if only some fit. Pieces beyond the last place open new sequences.
+Then gaps are updated, and the next round follows. A capacity of 2048 makes at most sixteen rounds, whatever the corpus's size.
+
+A sequence takes at most `capacity` tokens, so what is grouped by sequence is bounded, and all other steps are sorts, joins on unique
+numbers and sums; nothing but counts of bands and a row for each partition comes to the driver.
+
+Ids are those of `tokenizers`. Texts that hold a special token's string, or very long white space, are given to that library;
+all others to a faster encoder made of the same file, whose ids are equal there.
+
+Defined cases: a null or empty text is one piece of the id 0. Ties (equal lengths) go by the pieces' row numbers;
+repeated rows are packed each, as documents of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,69 +23,62 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions, parts
 
 CAPACITY, END = 2048, 0
 
 
 # A fixed value: how byte-level tokenizers cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Runs of white space from this length on are cut out before PATTERN is tried: it backtracks in them, and its library fails from about a million characters.
+#: The faster encoder's expression backtracks in white space, and fails from about a million characters of it.
 LONG_RUN = 100_000
 #: What PATTERN's \s is.
 SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-@cache
-def encoder(path: str):
-    """A tokenizer's file as a byte-pair encoder, one for each process.
+class Encoder:
+    """A tokenizer's file; it must be of a byte-level tokenizer whose ids follow its merges, so that ids are ranks."""
+
+    def __init__(self, path: str):
+        from tiktoken import Encoding
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        model, cut = data["model"], data["pre_tokenizer"] or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex") or data["normalizer"] or model.get("byte_fallback") or model.get("ignore_merges"):
+            raise ValueError(f"{path} is not of a plain byte-level tokenizer")
+        vocabulary = model["vocab"]
+        if any(vocabulary["".join(m if isinstance(m, list) else m.split(" "))] != 256 + i for i, m in enumerate(model["merges"])):
+            raise ValueError(f"the ids in {path} don't follow its merges")
+        # printable bytes stand for themselves, the others for characters from 256 on, in order
+        plain = [b for b in range(256) if chr(b).isprintable() and b != 32]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.special = [t["content"] for t in data["added_tokens"]]
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items() if token not in self.special}
+        self.fast = Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.library = Tokenizer.from_file(path)
+        self.long = re.compile(SPACE + "{%d}" % LONG_RUN)
+
+    def ids(self, text: str) -> list[int]:
+        if any(t in text for t in self.special) or len(text) >= LONG_RUN and self.long.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
-    The file must be of a byte-level tokenizer whose ids follow its merges, so that ids are ranks; texts are then
-    encoded as its own library does, several times faster. Special tokens' strings are ordinary text.
-    """
-    from tiktoken import Encoding
-
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
-    model, cut = data["model"], data["pre_tokenizer"] or {}
-    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex") or data["normalizer"] or model.get("byte_fallback") or model.get("ignore_merges"):
-        raise ValueError(f"{path} is not of a plain byte-level tokenizer")
-    vocabulary = model["vocab"]
-    if any(vocabulary["".join(m if isinstance(m, list) else m.split(" "))] != 256 + i for i, m in enumerate(model["merges"])):
-        raise ValueError(f"the ids in {path} don't follow its merges")
-    # printable bytes stand for themselves, the others for characters from 256 on, in order
-    plain = [b for b in range(256) if chr(b).isprintable() and b != 32]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"] for t in data["added_tokens"]}
-    ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items() if token not in special}
-    return Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def encode(model, text: str) -> list[int]:
-    """The text's ids, also if it holds runs of white space too long for PATTERN.
-
-    Of a run before another character PATTERN takes all but the last one as a piece, and goes on from that; of a run
-    at the end, all. So the ids are those of the whole text.
-    """
-    if len(text) < LONG_RUN:
-        return model.encode_ordinary(text)
-    ids, at = [], 0
-    for run in re.finditer(SPACE + "{%d,}" % LONG_RUN, text):
-        end = run.end() - (run.end() < len(text))
-        ids += model.encode_ordinary(text[at : run.start()])
-        ids += model._encode_single_piece(text[run.start() : end])
-        at = end
-    return ids + model.encode_ordinary(text[at:])
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each process."""
+    return Encoder(path)
 
 
 def pieces(ids: bytes, capacity: int) -> list[tuple[int, int]]:
@@ -95,10 +94,10 @@ def _tokenize(path: str, capacity: int, with_ids: bool):
         names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         if with_ids:
             names, types = [*names, "ids"], [*types, pa.binary()]
-        for batch in batches:
+        for batch in parts(batches, 1):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = np.array([*encode(model, text.as_py() or ""), END], "<u4").tobytes()
+                ids = np.array([*model.ids(text.as_py() or ""), END], "<u4").tobytes()
                 key = doc_id.as_py()
                 for k, (s, n) in enumerate(pieces(ids, capacity)):
                     own = ids[4 * s : 4 * (s + n)]
@@ -108,47 +107,70 @@ def _tokenize(path: str, capacity: int, with_ids: bool):
     return run
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, pieces, first sequence, offset) of best-fit decreasing for so many pieces of each length."""
-    gaps: list[int] = []  # sizes of gaps that there are, ascending
-    classes: dict[int, list[tuple[int, int]]] = {}  # of each size: (first sequence, sequences)
-    runs, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if not gap:
-            return
-        if gap not in classes:
-            insort(gaps, gap)
-            classes[gap] = []
-        classes[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = classes[gap].pop()
-                if not classes[gap]:
-                    del classes[gap], gaps[at]
-            else:
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            # a sequence that has taken a piece has the smallest gap, so it takes pieces until one doesn't fit
-            most = gap // length
-            for each, some in ((most, min(n, left // most)), (left % most, 1)):
-                some = min(some, n)
-                if not each or not some or left < each:
-                    continue
-                for k in range(each):
-                    runs.append((length, rank, some, first, capacity - gap + k * length))
-                    rank += some
-                left -= each * some
-                put(gap - each * length, first, some)
-                first, n = first + some, n - some
-            if n:
-                put(gap, first, n)
-    return runs
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(lo, hi): lengths over lo and up to hi, longest first. While few fit a sequence, a band is of those of which equally many do."""
+    edges = [capacity]
+    while edges[-1] > 0:
+        k = capacity // edges[-1] + 1
+        edges.append(min(edges[-1] - 1, capacity // k if k <= 8 else edges[-1] // 2))
+    return [(lo, hi) for hi, lo in zip(edges, edges[1:])]
+
+
+_NONE = -(1 << 62)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, id, n, size) of a partition in order, with its number and, as it counts, the pieces and places before each and the most places over pieces."""
+    part, pieces_, places, most = TaskContext.get().partitionId(), 0, 0, _NONE
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        piece, n = batch.column(0).to_numpy() == 0, batch.column(2).to_numpy()
+        own, width = piece.astype(np.int64), np.where(piece, 0, n)
+        i, c = pieces_ + np.cumsum(own) - own, places + np.cumsum(width) - width
+        d = np.maximum(np.maximum.accumulate(np.where(piece, c - i, _NONE)), most)
+        pieces_, places, most = int(i[-1] + own[-1]), int(c[-1] + width[-1]), int(d[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), part, np.int32)), *batch.columns, pa.array(i), pa.array(c), pa.array(d)], ["part", "kind", "id", "n", "size", "i", "c", "d"])
+
+
+def fit(pieces_: DataFrame, gaps: DataFrame | None, band: tuple[int, int], capacity: int, opened: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """One round: (places (pid, length, sequence_id, offset), gaps (seq, gap) after it, sequences opened so far)."""
+    spark, (lo, hi) = scratch.spark, band
+    rows = pieces_.where((F.col("length") > lo) & (F.col("length") <= hi)).select(F.lit(0).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("n"), F.col("length").alias("size"))
+    if gaps is not None:
+        n = F.greatest(F.lit(1), F.floor(F.col("gap") / F.lit(hi))).cast("long")
+        rows = rows.unionAll(gaps.where(F.col("gap") > lo).select(F.lit(1), "seq", n, F.least("gap", F.lit(hi)).cast("long")))
+    # pieces come before gaps of their size, which fit them
+    by = ["size", "kind", "id"]
+    rows = rows.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
+    swept = scratch.save(rows.mapInArrow(_sweep, "part int, kind int, id long, n long, size long, i long, c long, d long"), "swept")
+    per = swept.groupBy("part").agg(F.count_if(F.col("kind") == 0).alias("i"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)).alias("c"), F.max("d").alias("d"))
+    starts, count, places, most = [], 0, 0, _NONE
+    for r in sorted(per.collect(), key=lambda r: r.part):  # one row for each partition
+        starts.append((r.part, count, places, most))
+        most = max(most, r.d + places - count) if r.d > _NONE else most
+        count, places = count + r.i, places + r.c
+    starts = spark.createDataFrame(starts, "_p int, bi long, bc long, bd long")
+    ranked = swept.join(F.broadcast(starts), F.col("part") == F.col("_p"))
+    i, c = F.col("i") + F.col("bi"), F.col("c") + F.col("bc")
+    pieces_ = ranked.where("kind = 0").select(F.col("id").alias("pid"), F.col("n").alias("length"), i.alias("i"), (i + F.greatest(F.col("d") + F.col("bc") - F.col("bi"), "bd")).alias("slot"))
+    last, per_new = min(places, count + most) - 1, capacity // hi
+    before = lambda by: F.coalesce(F.sum("length").over(Window.partitionBy("seq").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # those beyond the last place, the longest, open sequences; in each there is room for per_new
+    rank = count - 1 - F.col("i")
+    new = pieces_.where(F.col("slot") >= places).select("pid", "length", (opened + F.floor(rank / F.lit(per_new))).alias("seq"), "i")
+    out = new.select("pid", "length", "seq", before(F.col("i").desc()).alias("offset"))
+    if gaps is not None and last >= 0:
+        held = ranked.where("kind = 1").select(F.col("id").alias("seq"), F.explode(F.when(c <= last, F.sequence(c, F.least(c + F.col("n") - 1, F.lit(last))))).alias("slot")).join(gaps, "seq")
+        found = pieces_.where(F.col("slot") < places).join(held, "slot")
+        out = found.select("pid", "length", "seq", (capacity - F.col("gap") + before("slot")).alias("offset")).unionAll(out)
+    out = scratch.save(out.select("pid", "length", "seq", F.col("offset").cast("long").alias("offset")), "placed")
+    changes = out.select("seq", (-F.col("length")).alias("gap")).unionAll(out.where((F.col("offset") == 0)).select("seq", F.lit(capacity).cast("long")))
+    changes = changes if gaps is None else changes.unionAll(gaps)
+    after = scratch.save(changes.groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), "gaps")
+    n_new = out.agg(F.max("seq")).first()[0]
+    scratch.drop(*(t for t in (swept, gaps) if t is not None))
+    return out, after, max(opened, n_new + 1)
 
 
 def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -156,35 +178,17 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = CAPA
 
     tokenizer: the path of a byte-level tokenizer's file, on every executor. ids: little-endian 32-bit numbers.
     """
+    scratch = scratch.inner("pack")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(_tokenize(tokenizer, capacity, with_ids), schema)
-    rows = scratch.save(rows, "pieces")
+    rows = scratch.save(rows.mapInArrow(_tokenize(tokenizer, capacity, with_ids), schema).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    runs = np.array(best_fit(counts, capacity), np.int64).reshape(-1, 5)
-    total = sum(counts.values())
-
-    # rank among the pieces of a length: by slices of a hash, of about 1000 pieces each, counted first
-    slices = max(1, total // 1000)
-    slot = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(slices))
-    rows = rows.withColumn("slot", slot)
-    before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("length", "slot").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    within = Window.partitionBy("length", "slot").orderBy("doc_id", "piece", "start", "ids_crc32")
-    starts = starts.select(F.col("length").alias("l"), F.col("slot").alias("s"), "before")
-    ranked = rows.withColumn("own", F.row_number().over(within) - 1).join(starts, (F.col("length") == F.col("l")) & (F.col("slot") == F.col("s")))
-    ranked = ranked.withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "slot", "l", "s")
-
-    order = np.lexsort((runs[:, 1], runs[:, 0]))
-    runs = runs[order]
-    keys = runs[:, 0] << 48 | runs[:, 1]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            k = np.searchsorted(keys, pdf.length.to_numpy(np.int64) << 48 | pdf["rank"].to_numpy(np.int64), "right") - 1
-            pdf = pdf.assign(sequence_id=runs[k, 3] + pdf["rank"].to_numpy(np.int64) - runs[k, 1], offset=runs[k, 4])
-            yield pdf.drop(columns="rank")
-
-    text = ranked.withColumn("doc_id", F.col("doc_id").cast("string"))  # so that pandas keeps 64 bits beside nulls
-    out = text.mapInPandas(place, schema.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    places, gaps, opened = [], None, 0
+    for lo, hi in bands(capacity):
+        if any(lo < n <= hi for n in counts):
+            placed, gaps, opened = fit(rows, gaps, (lo, hi), capacity, opened, scratch)
+            places.append(placed)
+    if not places:
+        return rows.drop("pid").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    every = reduce(DataFrame.unionAll, places).select("pid", F.col("seq").alias("sequence_id"), "offset")
+    return rows.join(every, "pid").drop("pid")

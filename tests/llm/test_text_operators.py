@@ -300,7 +300,6 @@ def check_packing(rows, texts, capacity):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer())
-    model.encode_special_tokens = True
     ids = {d: model.encode(t or "", add_special_tokens=False).ids + [0] for d, t in texts.items()}
     places, docs = {}, {}
     for r in rows:
@@ -351,20 +350,68 @@ def test_packing_repeated_rows(spark):
     assert sorted(r.offset for r in rows) == [0, 3, 6, 9] and len({r.sequence_id for r in rows}) == 1
 
 
-def test_best_fit_is_best_fit_decreasing():
+def best_fit_decreasing(lengths, capacity):
+    """Number of sequences."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            gaps.append(capacity - n)
+        else:
+            gaps[gaps.index(fit)] -= n
+    return len(gaps)
+
+
+def test_bands_cover_all_lengths():
+    for capacity in (1, 2, 7, 64, 2048):
+        found = packing.bands(capacity)
+        assert sorted(n for lo, hi in found for n in range(lo + 1, hi + 1)) == list(range(1, capacity + 1)) and len(found) <= 30
+
+
+def brute_round(lengths, gaps, lo, hi, capacity):
+    """Sizes of what each piece, shortest first, is put into: the first free place from its size on; None: a new sequence."""
+    free = sorted(((min(g, hi), 1, j) for j, g in enumerate(gaps) if g > lo for _ in range(max(1, g // hi))), key=lambda x: (x[0], x[2]))
+    out, at = {}, 0
+    for pid, n in sorted(enumerate(lengths), key=lambda x: (x[1], x[0])):
+        while at < len(free) and free[at][0] < n:
+            at += 1
+        out[pid] = free[at][2] if at < len(free) else None
+        at += 1
+    return out
+
+
+def test_a_round_against_brute_force(spark):
+    """Successors with ranks, over many partitions."""
     r = random.Random(11)
-    for _ in range(30):
-        lengths = sorted((r.randint(1, 20) for _ in range(200)), reverse=True)
-        gaps: list[int] = []
-        for n in lengths:
-            fit = min((g for g in gaps if g >= n), default=None)
-            if fit is None:
-                gaps.append(20 - n)
-            else:
-                gaps[gaps.index(fit)] -= n
-        runs = packing.best_fit({n: lengths.count(n) for n in set(lengths)}, 20)
-        assert sum(x[2] for x in runs) == len(lengths)
-        assert len({s for x in runs for s in range(x[3], x[3] + x[2])}) == len(gaps)
+    for case in range(4):
+        lo, hi, capacity = 12, 21, 64
+        lengths = [r.randint(lo + 1, hi) for _ in range(r.choice([5, 60, 200]))]
+        gaps = [r.randint(1, 50) for _ in range(r.choice([0, 20, 90]))]
+        pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+        have = spark.createDataFrame(list(enumerate(gaps)), "seq long, gap long")
+        out, after, opened = packing.fit(pieces, have, (lo, hi), capacity, len(gaps), Scratch(spark, "t"))
+        want, rows = brute_round(lengths, gaps, lo, hi, capacity), out.collect()
+        assert {x.pid: x.seq if x.seq < len(gaps) else None for x in rows} == want
+        new = [x for x in rows if x.seq >= len(gaps)]
+        assert opened - len(gaps) == len({x.seq for x in new}) == -(-len(new) // (capacity // hi))
+        left = {i: g for i, g in enumerate(gaps)} | {x.seq: capacity for x in new}
+        for x in sorted(rows, key=lambda x: (x.seq, x.offset)):
+            whole = gaps[x.seq] if x.seq < len(gaps) else capacity
+            assert x.offset == capacity - whole + (whole - left[x.seq])
+            left[x.seq] -= x.length
+        assert min(left.values()) >= 0 and {x.seq: x.gap for x in after.collect()} == {k: v for k, v in left.items() if v}
+
+
+@pytest.mark.parametrize("shape", ["mixed", "thirds", "tiny"])
+def test_packing_is_near_best_fit_decreasing(spark, shape):
+    r = random.Random(16)
+    lengths = {"mixed": lambda: r.randint(1, 64), "thirds": lambda: r.randint(18, 24), "tiny": lambda: r.choice([1, 2, 3, 60])}[shape]
+    found = [lengths() for _ in range(400)]
+    docs = spark.createDataFrame([(i, " x" * (n - 1), "s") for i, n in enumerate(found)], DOCS)
+    rows = packing.pack(docs, Scratch(spark, "t"), tokenizer(), capacity=64).collect()
+    assert sorted(x.length for x in rows) == sorted(found)
+    n, _ = check_packing(rows, {i: " x" * (n - 1) for i, n in enumerate(found)}, 64)
+    assert n <= best_fit_decreasing(found, 64) * 1.05 + 1
 
 
 # --- toxicity
