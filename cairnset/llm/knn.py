@@ -5,8 +5,9 @@ into smallest distances: |q' - x'|^2 = |q|^2 + M^2 - 2 q.x. Pivots split queries
 Summaries per cell (queries: greatest distance to the pivot; candidates: the k + 1 vec_ids with the smallest
 distances to it, one row each) bound the distance of each query cell's k-th neighbour; a candidate is replicated only to the query
 groups whose bound it can meet (triangle inequality, and the distance to the bisecting hyperplane). Groups
-are neighbouring query cells; they are solved in blocks of queries and candidates, so a group of any size is
-dealt to many tasks, and each block keeps k rows a query.
+are neighbouring query cells that need much the same candidate cells, so that a candidate goes to few groups without
+going to queries that can't need it; they are solved in blocks of queries and candidates, so a group of any size is
+dealt to many tasks, and each block keeps k rows a query. Pivots grow with the square root of the candidates.
 
 Components are floor(scale * x); scores are exact 64-bit sums. The bounds are doubles with a relative
 tolerance, so no true neighbour is lost.
@@ -26,9 +27,17 @@ from pyspark.sql import functions as F
 from .common import Scratch, partitions, spread_join
 from .vectors import finite, kmeans, matrix, nearest, sample
 
-SAMPLE, PIVOTS = 8192, 64
+SAMPLE = 8192
 #: Queries and candidates of one block.
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+#: A cell joins a group if their candidates together are at most this many times those of either.
+ALIKE = 1.25
+#: Numbers of one block of distances.
+BLOCK = 1 << 20
+
+
+def pivots_for(n: int) -> int:
+    return max(64, round(n**0.5 / 2))
 
 
 def _raised(x: np.ndarray, most2: float, query: bool) -> np.ndarray:
@@ -36,6 +45,38 @@ def _raised(x: np.ndarray, most2: float, query: bool) -> np.ndarray:
     return np.hstack([x, rest[:, None]])
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
+
+
+def bounds(cells: dict[int, float], few: dict[int, list], between: np.ndarray, k: int) -> np.ndarray:
+    """For each query cell with queries, (greatest distance to the pivot, bound on that of the k-th neighbour); -1 for others."""
+    reach = np.full((len(between), 2), -1.0)
+    cell, id_, far = (np.array(x) for x in zip(*((j, f.id, f.far) for j, rows in few.items() for f in rows)))
+    for c, own in cells.items():
+        upper = own + between[c, cell] + far
+        order = np.argsort(upper, kind="stable")
+        first = np.sort(np.unique(id_[order], return_index=True)[1])  # of each id, whose rows may be in several cells, the least
+        reach[c] = own, upper[order[first[k]]] if len(first) > k else np.inf
+    return reach
+
+
+def grouped_cells(cells: dict[int, int], needs: dict[int, np.ndarray], sizes: np.ndarray, between: np.ndarray) -> dict[int, int]:
+    """A group for each query cell; cells: queries in each; needs: which candidate cells each may need; sizes: rows of those."""
+    group: dict[int, int] = {}
+    left = sorted(cells)
+    while left:
+        start, need, load = left[0], needs[left[0]].copy(), cells[left[0]]
+        number = len(set(group.values()))
+        group[start] = number
+        for c in sorted(left[1:], key=lambda c: between[start, c]):
+            both = need | needs[c]
+            if load + cells[c] <= QUERY_BLOCK and sizes[both].sum() <= ALIKE * min(sizes[need].sum(), sizes[needs[c]].sum()):
+                group[c], need, load = number, both, load + cells[c]
+        left = [c for c in left if c not in group]
+    return group
+
+
 def _deal(pivots: np.ndarray, width: int, most2: float, query: bool):
     def run(batches):
         for pdf in batches:
@@ -64,13 +105,14 @@ def _replicate(pivots: np.ndarray, width: int, most2: float, reach: np.ndarray,
 
     def run(batches):
         live = np.flatnonzero(reach[:, 0] >= 0)
-        between = np.sqrt(((pivots[:, None] - pivots[live]) ** 2).sum(2))
+        between = distances(pivots, pivots[live])
         slack = 1e-6 * (1 + np.sqrt(most2))
-        for pdf in batches:
+        step = max(1, BLOCK // len(live))
+        for pdf in (whole.iloc[at : at + step] for whole in batches for at in range(0, len(whole), step)):
             x = _raised(matrix(pdf.vector, width), most2, False)
             own = pdf.cell.to_numpy()
             far = pdf.far.to_numpy()
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots[live] ** 2).sum(1) - 2 * x @ pivots[live].T, 0))
+            d = distances(x, pivots[live])
             # nearest query of the cell: by the triangle, and a query is on its pivot's side of the hyperplane
             gap = between[own]
             plane = np.where(gap > 0, (d**2 - far[:, None] ** 2) / (2 * np.maximum(gap, 1e-30)), 0)
@@ -126,7 +168,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, scratch: Scratch, k: int =
     if not total or not n_queries:
         return scratch.spark.createDataFrame([], schema)
     width = max(width, q_width)
-    pivots = kmeans(_raised(matrix(sample(data, "id", "vector", SAMPLE), width), most2, False), PIVOTS)
+    pivots = kmeans(_raised(matrix(sample(data, "id", "vector", SAMPLE), width), most2, False), pivots_for(total))
 
     data = scratch.save(data.mapInPandas(_deal(pivots, width, most2, False), "id long, vector array<double>, cell int, far double"), "dealt")
     asked = scratch.save(asked.mapInPandas(_deal(pivots, width, most2, True), "id long, vector array<double>, row long, cell int, far double"), "dealt")
@@ -135,28 +177,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, scratch: Scratch, k: int =
     nearest_few = firsts.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(partitions(scratch.spark))).alias("slice")).agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "id"))), 1, k + 1).alias("few"))
     few = {r.cell: r.few for r in nearest_few.groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, k + 1).alias("few")).collect()}
     cells = {r.cell: (r.far, r.n) for r in asked.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
-    reach, between = np.full((len(pivots), 2), -1.0), np.sqrt(((pivots[:, None] - pivots) ** 2).sum(2))
-    for c, (far, _) in cells.items():
-        least: dict[int, float] = {}  # of each id, whose rows may be in several cells
-        for j, rows in few.items():
-            for f in rows:
-                least[f.id] = min(least.get(f.id, np.inf), far + between[c, j] + f.far)
-        upper = sorted(least.values())
-        reach[c] = far, upper[k] if len(upper) > k else np.inf
-    group, load = np.zeros(len(pivots), np.int64), 0
-    left = set(cells)
-    while left:  # neighbouring cells share a group until it has a block of queries
-        start = min(left)
-        load = 0
-        g = group.max() + 1 if len(left) < len(cells) else 0
-        for c in sorted(left, key=lambda c: between[start, c]):
-            if load and load + cells[c][1] > QUERY_BLOCK:
-                break
-            group[c], load = g, load + cells[c][1]
-            left.discard(c)
+    held = {r.cell: (r.far, r.n) for r in data.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
+    between = distances(pivots, pivots)
+    reach = bounds({c: far for c, (far, _) in cells.items()}, few, between, k)
+    sizes, radius = (np.array([held.get(j, (-np.inf, 0))[i] for j in range(len(pivots))]) for i in (1, 0))
+    needs = {c: between[c] - radius <= reach[c].sum() for c in cells}
+    found = grouped_cells({c: n for c, (_, n) in cells.items()}, needs, sizes, between)
+    group = np.array([found.get(c, 0) for c in range(len(pivots))])
 
     sent = scratch.save(data.mapInPandas(_replicate(pivots, width, most2, reach, group), "id long, vector array<double>, grp int"), "sent")
-    grouped = asked.withColumn("grp", F.element_at(F.array(*[F.lit(int(g)) for g in group]), F.col("cell") + 1))
+    cell_groups = scratch.spark.createDataFrame([(int(c), int(g)) for c, g in found.items()], "cell int, grp int")  # a row for each cell
+    grouped = asked.join(F.broadcast(cell_groups), "cell")
     sizes = sent.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(CANDIDATE_BLOCK)).alias("cs")).join(grouped.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).alias("qs")), "grp")
     sizes = scratch.save(sizes, "sizes")
     zero = F.lit(0).cast("long")
