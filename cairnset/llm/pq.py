@@ -7,7 +7,7 @@ each list, table look-ups give the distance of x to y's reconstruction; with y's
 neighbour has a distance of at most r + e. What passes is scored by exact cosine in doubles. So probes and
 distances are sufficient: the result is that of brute force (the tests measure recall 1).
 
-The model is fitted on at most SAMPLE vectors and has at most MAX_LISTS lists; every vector is indexed.
+The model is fitted on at most SAMPLE vectors; every vector is indexed. Lists grow with the square root of the vectors.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without
 label or vec_id, link with nothing; so do vectors of different lengths. Equal vectors are compared once and
@@ -27,7 +27,9 @@ from .common import Scratch, components, forest, spread_join
 from .minhash import chunks_of
 from .vectors import finite, kmeans, matrix, nearest, sample
 
-SAMPLE, MAX_LISTS, SUBSPACES, CODEWORDS = 16384, 1024, 8, 256
+SAMPLE, SUBSPACES, CODEWORDS = 16384, 8, 256
+#: Numbers of one block of distances to all centres.
+BLOCK = 1 << 20
 
 
 class Model:
@@ -35,7 +37,7 @@ class Model:
         width = x.shape[1]
         self.m = min(SUBSPACES, width)
         self.cuts = np.linspace(0, width, self.m + 1).astype(int)
-        self.coarse = kmeans(x, max(1, min(MAX_LISTS, round(math.sqrt(n) / 4), len(x))))
+        self.coarse = kmeans(x, max(1, min(round(math.sqrt(n) / 4), len(x))))
         residual = x - self.coarse[nearest(x, self.coarse)]
         self.words = [kmeans(residual[:, a:b], CODEWORDS, 4) for a, b in zip(self.cuts, self.cuts[1:])]
 
@@ -59,8 +61,8 @@ def _index(model: Model, width: int, radius: float):
     def run(batches):
         """Each vector once for its own list, with its code, and once for each further list that it probes."""
         c2 = (model.coarse**2).sum(1)
-        apart = np.sqrt(np.maximum(c2[:, None] + c2 - 2 * model.coarse @ model.coarse.T, 1e-30))
-        for pdf in batches:
+        step = max(1, BLOCK // len(c2))
+        for pdf in (whole.iloc[at : at + step] for whole in batches for at in range(0, len(whole), step)):
             x = matrix(pdf.vector, width)
             x /= np.linalg.norm(x / np.abs(x).max(1)[:, None], axis=1)[:, None] * np.abs(x).max(1)[:, None]
             d2 = (x**2).sum(1)[:, None] + c2 - 2 * x @ model.coarse.T
@@ -68,7 +70,8 @@ def _index(model: Model, width: int, radius: float):
             codes, missed = model.encode(x, home)
             own = d2[np.arange(len(x)), home]
             # each pair is met once: in the list with the higher number
-            near = ((d2 - own[:, None]) / (2 * apart[home]) <= radius + 1e-7) | (apart[home] < 1e-6)
+            apart = np.sqrt(np.maximum(c2[home][:, None] + c2 - 2 * model.coarse[home] @ model.coarse.T, 1e-30))
+            near = ((d2 - own[:, None]) / (2 * apart) <= radius + 1e-7) | (apart < 1e-6)
             probe = near & (np.arange(len(model.coarse)) > home[:, None])
             at, to = np.nonzero(probe)
             yield pd.DataFrame({"rep": pdf.rep, "n": pdf.n, "kind": pdf.kind, "list": home.astype("int32"), "code": [c.tobytes() for c in codes], "missed": missed, "vector": pdf.vector})
