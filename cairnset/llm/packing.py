@@ -5,8 +5,9 @@ gaps are range-sorted together by size; a sweep in that order counts, for each p
 places before it in gaps too small for it. The successor of piece i, the first gap from its size on, is what the sweep has
 not passed yet; where several pieces want the same gap, ranks decide: piece i gets place i + max(places passed - rank) over
 the pieces up to i. The running maxima of the partitions are put together from one row each. A gap counts as many
-places as pieces of the band surely fit it, and one if only some fit. Pieces beyond the last place open new sequences.
-Then gaps are updated, and the next round follows. A capacity of 2048 makes at most sixteen rounds, whatever the corpus's size.
+places as pieces of the band surely fit it, and one if only some fit. Pieces beyond the last place, the longest, open new
+sequences, each filled with them in order while they fit. Then gaps are updated, and the next round follows. There are eight bands, whatever
+the corpus's size.
 
 A sequence takes at most `capacity` tokens, so what is grouped by sequence is bounded, and all other steps are sorts, joins on unique
 numbers and sums; nothing but counts of bands and a row for each partition comes to the driver.
@@ -108,12 +109,12 @@ def _tokenize(path: str, capacity: int, with_ids: bool):
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
-    """(lo, hi): lengths over lo and up to hi, longest first. While few fit a sequence, a band is of those of which equally many do."""
+    """(lo, hi): lengths over lo and up to hi, longest first; of the long ones equally many fit a sequence, the last band is of all that are short."""
     edges = [capacity]
-    while edges[-1] > 0:
-        k = capacity // edges[-1] + 1
-        edges.append(min(edges[-1] - 1, capacity // k if k <= 8 else edges[-1] // 2))
-    return [(lo, hi) for hi, lo in zip(edges, edges[1:])]
+    for k in (2, 3, 4, 8, 16, 32, 64):
+        if edges[-1] > capacity // k > 0:
+            edges.append(capacity // k)
+    return [(lo, hi) for hi, lo in zip(edges, [*edges[1:], 0])]
 
 
 _NONE = -(1 << 62)
@@ -133,8 +134,29 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), part, np.int32)), *batch.columns, pa.array(i), pa.array(c), pa.array(d)], ["part", "kind", "id", "n", "size", "i", "c", "d"])
 
 
-def fit(pieces_: DataFrame, gaps: DataFrame | None, band: tuple[int, int], capacity: int, opened: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """One round: (places (pid, length, sequence_id, offset), gaps (seq, gap) after it, sequences opened so far)."""
+def _open(number: int, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pid, length, seq, offset) of pieces (pid, length) in order: a sequence takes them while they fit."""
+        seq, used = number << 52 | TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            seqs, offsets = [], []
+            for n in batch.column(1).to_pylist():
+                if used + n > capacity:
+                    seq, used = seq + 1, 0
+                seqs.append(seq)
+                offsets.append(used)
+                used += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seqs, pa.int64()), pa.array(offsets, pa.int64())], ["pid", "length", "seq", "offset"])
+
+    return run
+
+
+#: Pieces of a task that opens sequences, about: each leaves one that is not full, for later rounds.
+OPENED = 20_000
+
+
+def fit(pieces_: DataFrame, gaps: DataFrame | None, band: tuple[int, int], capacity: int, number: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One round, the number-th: (places (pid, length, seq, offset), gaps (seq, gap) after it)."""
     spark, (lo, hi) = scratch.spark, band
     rows = pieces_.where((F.col("length") > lo) & (F.col("length") <= hi)).select(F.lit(0).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("n"), F.col("length").alias("size"))
     if gaps is not None:
@@ -153,24 +175,21 @@ def fit(pieces_: DataFrame, gaps: DataFrame | None, band: tuple[int, int], capac
     starts = spark.createDataFrame(starts, "_p int, bi long, bc long, bd long")
     ranked = swept.join(F.broadcast(starts), F.col("part") == F.col("_p"))
     i, c = F.col("i") + F.col("bi"), F.col("c") + F.col("bc")
-    pieces_ = ranked.where("kind = 0").select(F.col("id").alias("pid"), F.col("n").alias("length"), i.alias("i"), (i + F.greatest(F.col("d") + F.col("bc") - F.col("bi"), "bd")).alias("slot"))
-    last, per_new = min(places, count + most) - 1, capacity // hi
-    before = lambda by: F.coalesce(F.sum("length").over(Window.partitionBy("seq").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # those beyond the last place, the longest, open sequences; in each there is room for per_new
-    rank = count - 1 - F.col("i")
-    new = pieces_.where(F.col("slot") >= places).select("pid", "length", (opened + F.floor(rank / F.lit(per_new))).alias("seq"), "i")
-    out = new.select("pid", "length", "seq", before(F.col("i").desc()).alias("offset"))
+    pieces_ = ranked.where("kind = 0").select(F.col("id").alias("pid"), F.col("n").alias("length"), (i + F.greatest(F.col("d") + F.col("bc") - F.col("bi"), "bd")).alias("slot"))
+    new = pieces_.where(F.col("slot") >= places).select("pid", "length").coalesce(max(1, count // OPENED))
+    out = new.mapInArrow(_open(number, capacity), "pid long, length long, seq long, offset long")
+    last = min(places, count + most) - 1
     if gaps is not None and last >= 0:
         held = ranked.where("kind = 1").select(F.col("id").alias("seq"), F.explode(F.when(c <= last, F.sequence(c, F.least(c + F.col("n") - 1, F.lit(last))))).alias("slot")).join(gaps, "seq")
         found = pieces_.where(F.col("slot") < places).join(held, "slot")
-        out = found.select("pid", "length", "seq", (capacity - F.col("gap") + before("slot")).alias("offset")).unionAll(out)
-    out = scratch.save(out.select("pid", "length", "seq", F.col("offset").cast("long").alias("offset")), "placed")
+        before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+        out = found.select("pid", "length", "seq", (capacity - F.col("gap") + F.coalesce(before, F.lit(0))).alias("offset")).unionAll(out)
+    out = scratch.save(out, "placed")
     changes = out.select("seq", (-F.col("length")).alias("gap")).unionAll(out.where((F.col("offset") == 0)).select("seq", F.lit(capacity).cast("long")))
     changes = changes if gaps is None else changes.unionAll(gaps)
     after = scratch.save(changes.groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), "gaps")
-    n_new = out.agg(F.max("seq")).first()[0]
     scratch.drop(*(t for t in (swept, gaps) if t is not None))
-    return out, after, max(opened, n_new + 1)
+    return out, after
 
 
 def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -183,10 +202,10 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = CAPA
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.save(rows.mapInArrow(_tokenize(tokenizer, capacity, with_ids), schema).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    places, gaps, opened = [], None, 0
-    for lo, hi in bands(capacity):
+    places, gaps = [], None
+    for number, (lo, hi) in enumerate(bands(capacity)):
         if any(lo < n <= hi for n in counts):
-            placed, gaps, opened = fit(rows, gaps, (lo, hi), capacity, opened, scratch)
+            placed, gaps = fit(rows, gaps, (lo, hi), capacity, number, scratch)
             places.append(placed)
     if not places:
         return rows.drop("pid").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

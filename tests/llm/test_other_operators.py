@@ -104,6 +104,22 @@ def test_top_k(spark, monkeypatch, small):
     assert top(spark, asked, rows) == brute_top(asked, rows, 5, 256.0)
 
 
+def test_top_k_sends_only_what_is_needed(spark):
+    """Clusters far apart: a query's neighbours are in its own, so a candidate goes to few of the groups."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(24, 8))
+    centres *= 20 / np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 24] + r.normal(size=8) * 0.05], 0) for i in range(960)]
+    asked = [x for x in rows if x[0] % 7 == 0]
+    scratch = Scratch(spark, "t")
+    a, b = (spark.createDataFrame(x, VECTORS) for x in (asked, rows))
+    got = sorted(tuple(x) for x in knn.top_k(a, b, scratch, 5, 256.0).collect())
+    assert got == brute_top(asked, rows, 5, 256.0)
+    sent = next(t for path, t in scratch.tables.items() if "/sent-" in path)
+    pairs = sent.groupBy("grp").count().collect()
+    assert len(pairs) > 3 and sum(x["count"] for x in pairs) < 0.5 * len(rows) * len(pairs)
+
+
 def test_top_k_repeated_queried_ids(spark):
     """Rows of one queried id, equal ones and others, are more than k and nearer than all candidates."""
     r = np.random.default_rng(3)
