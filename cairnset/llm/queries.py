@@ -52,8 +52,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return urls.judge(read(spark, sf_dir, "pages"), rules)
+    values = ", ".join(str(r) for r in URL_RULES)
+    rules = spark.sql(f"select * from values {values} as rules(host, path, verdict)")
+    return urls.judge(read(spark, sf_dir, "pages"), rules, scratch=Scratch(spark, "op6"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +119,28 @@ from urls left join rules on (host = rule_host or ends_with(host, '.' || rule_ho
 qualify row_number() over (partition by page_id order by length(rule_host || rule_path) desc nulls last) = 1
 """
 
+_NEAR_TEXTS = """
+with recursive ws as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), runs as (
+  select doc_id, case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end as r from ws
+), sets as (
+  select distinct doc_id, unnest(r) as shingle from runs
+), sizes as (
+  select doc_id, count(*) as n from sets group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from sets a join sets b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+), links as (
+  select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c.n >= 80 * (x.n + y.n - c.n)
+), reach(node, root) as (
+  select a, a from links union select b, root from reach join links on a = node
+), least as (
+  select node, min(root) as root from reach group by node
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(root, d.doc_id) as component_id, d.doc_id = coalesce(root, d.doc_id) as kept
+from documents d left join sizes using (doc_id) left join least on node = d.doc_id
+"""
+
 _WARC = """
 with keyed as (
   select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
@@ -164,6 +187,7 @@ from embeddings left join least on node = vec_id left join counts on a = vec_id
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": _NEAR_VECTORS,
+        "op2_minhash_near_dedup": _NEAR_TEXTS,
         "op3_source_mixing": _MIX,
         "op6_url_filter": _URLS,
         "op8_warc_round_trip": _WARC,

@@ -10,7 +10,8 @@ same LENGTH bytes, and all but the first of them (in document order) are repeats
 
 Skew: each batch of texts sends one row of an anchor hash to be counted, the rest is known to be shared and is dealt
 at random. Hashes with more than MOST contexts do not go to one transform: each of their runs becomes a
-row, and runs are grouped by a 128-bit hash with partial aggregates.
+row, and equal runs are found by grouping on their bytes with partial aggregates. Contexts count as equal if the 64-bit hashes of
+both their anchors and themselves are.
 
 Defined cases: a null text is empty. Null doc_ids come after all others. Rows that share a doc_id are
 documents of their own, ordered by their text's hash, if their texts differ, and one document if they are equal
@@ -284,19 +285,19 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, doc, part, begin) for each run of LENGTH bytes of a context."""
-    import xxhash
-
+    """(run, doc, part, begin) for each run of LENGTH bytes of a context."""
     for batch in batches:
+        rows: tuple[list, ...] = ([], [], [], [])
         for doc, part, at, text in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
             begin = (at >> (2 * _RIGHT)) - (at >> _RIGHT & 255)
-            n = len(text) - LENGTH + 1
-            if n > 0:
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[i : i + LENGTH]) for i in range(n)), np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([doc] * n, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(begin + np.arange(n))],
-                    ["k1", "k2", "doc", "part", "begin"],
-                )
+            for i in range(len(text) - LENGTH + 1):
+                for x, v in zip(rows, (text[i : i + LENGTH], doc, part, begin + i)):
+                    x.append(v)
+            if len(rows[0]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["run", "doc", "part", "begin"])
+                rows = ([], [], [], [])
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["run", "doc", "part", "begin"])
 
 
 def _identified(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -336,11 +337,11 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
     contexts = scratch.save(with_text.mapInArrow(_contexts, "hash long, doc long, part long, at long, text binary").distinct(), "contexts")
     spans = "doc long, part long, begin long, end long"
     small = contexts.where("hash is not null").repartition("hash").sortWithinPartitions("hash").mapInArrow(_expand, spans)
-    large = scratch.save(contexts.where("hash is null").mapInArrow(_windows, "k1 long, k2 long, doc long, part long, begin long"), "windows")
-    first = large.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "part", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "first")
+    large = scratch.save(contexts.where("hash is null").mapInArrow(_windows, "run binary, doc long, part long, begin long"), "windows")
+    first = large.groupBy("run").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "part", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select(F.col("run").alias("_run"), "first")
     late = F.struct(F.col("doc").isNull(), "doc", "part", "begin") > F.col("first")
-    large = large.join(first, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).where(late).select("doc", "part", "begin", (F.col("begin") + LENGTH).alias("end"))
+    large = large.join(first, F.col("run") == F.col("_run")).where(late).select("doc", "part", "begin", (F.col("begin") + LENGTH).alias("end"))
     return copies.unionByName(small).unionByName(large)
 
 

@@ -4,8 +4,9 @@ A host becomes its labels in reverse, each closed by a dot, so that a rule's hos
 the interval [key, key with '/' for its last dot). Intervals nest or are disjoint. A sweep over the sorted
 keys meets a rule's opening, at which the stack is its ancestors' and its own rules, and its closing, at which the
 stack is its ancestors'; each url takes the stack of the last such event at or before its key, and of that the
-longest rule whose path its own starts with. Urls are dealt evenly at random, and each share is swept with all rule
-events, so a host with a third of all rows is no bottleneck. Built-in functions only.
+longest rule whose path its own starts with. Urls and events are range-sorted together, each event once; equal keys
+are told apart by a number, so a host with a third of all rows is dealt to many ranges. Each range is swept on its own, and
+begins with the stack that the last event before it left, of which there is one row for each range. Built-in functions only.
 
 Defined cases: a null url, or one without '://', has an empty host and path and meets no rule; rules with a
 null host, path or verdict are ignored; of equal rules, block wins; of rules equally long, that with the
@@ -20,8 +21,10 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from ..operators.positions import with_place
+from .common import Scratch
 
+STACK = "array<struct<size:int,depth:int,host:string,path:string,verdict:string>>"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -55,17 +58,19 @@ def sweep_events(rules: DataFrame) -> DataFrame:
     ).select("e.key", "e.stack")
 
 
-def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", columns: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", columns: tuple[str, ...] = ("page_id",), scratch: Scratch | None = None) -> DataFrame:
     """The named columns of pages with host, path, rule and verdict; rules has host, path and verdict."""
-    shares = partitions(pages.sparkSession)
-    urls = pages.select(*columns, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    urls = urls.withColumn("_share", F.pmod(F.xxhash64(*[c for c in urls.columns if c != "_share"], F.monotonically_increasing_id()), F.lit(shares)).cast("int"))
-    urls = urls.withColumn("_key", key(F.col("host"))).withColumn("_url", F.lit(1)).withColumn("_stack", F.lit(None).cast("array<struct<size:int,depth:int,host:string,path:string,verdict:string>>"))
-    events = sweep_events(rules).select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"), F.col("key").alias("_key"), F.lit(0).alias("_url"), F.col("stack").alias("_stack"))
-    both = urls.unionByName(events, allowMissingColumns=True)
-    sweep = Window.partitionBy("_share").orderBy("_key", "_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = both.withColumn("_active", F.last("_stack", ignorenulls=True).over(sweep)).where("_url = 1")
-    fits = F.filter("_active", lambda r: F.startswith(F.col("path"), r["path"]))
-    best = F.array_max(fits)
-    swept = swept.withColumn("_best", best)
-    return swept.select(*columns, "host", "path", F.concat("_best.host", "_best.path").alias("rule"), F.coalesce("_best.verdict", F.lit(otherwise)).alias("verdict"))
+    scratch = (scratch or Scratch(pages.sparkSession, "urls")).inner("sweep")
+    urls = pages.select(F.struct(*columns).alias("own"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    urls = urls.select("*", key(F.col("host")).alias("key"), F.lit(1).alias("url"), F.xxhash64(F.monotonically_increasing_id()).alias("nth"), F.lit(None).cast(STACK).alias("stack"))
+    events = sweep_events(rules).select("key", F.lit(0).alias("url"), F.lit(0).cast("long").alias("nth"), F.col("stack").cast(STACK).alias("stack"))
+    by = ["key", "url", "nth"]
+    placed = scratch.save(with_place(urls.unionByName(events, allowMissingColumns=True).repartitionByRange(*by).sortWithinPartitions(*by)), "placed")
+    # a row for each range: what the ranges before it leave
+    left = placed.groupBy("_part").agg(F.max_by("stack", F.when(F.col("url") == 0, F.col("_place"))).alias("left"))
+    left = left.select(F.col("_part").alias("_p"), F.last("left", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    sweep = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = placed.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("url = 1").join(left, F.col("_part") == F.col("_p"))
+    fits = F.filter(F.coalesce("active", "carried"), lambda r: F.startswith(F.col("path"), r["path"]))
+    swept = swept.select("own", "host", "path", F.array_max(fits).alias("best"))
+    return swept.select("own.*", "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import arrow_options, arrow_store
 from .common import Scratch
 
 MAGIC, SKIPPABLE = 0xFD2FB528, 0x184D2A5D
@@ -158,12 +159,6 @@ def checked_row(headers: dict[str, str], block: bytes) -> tuple:
     return page_of(headers["warc-record-id"]), size, digest, kind, refers_to
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_archives(pages: DataFrame, scratch: Scratch, folder: str) -> DataFrame:
     """Write pages (page_id, url, html) as archives into a folder that all executors share; rows (path, records, bytes)."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
@@ -175,13 +170,15 @@ def write_archives(pages: DataFrame, scratch: Scratch, folder: str) -> DataFrame
     marked = pages.withColumn("digest", F.sha2("payload", 256)).join(shared, F.col("digest") == F.col("_d"), "left")
     marked = marked.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
+    options = arrow_options(scratch.spark, folder)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def records():
             for pdf in batches:
                 for p, url, payload, digest, r in zip(pdf.page_id, pdf.url, pdf.payload, pdf.digest, pdf.refers_to):
                     yield encode_record(None if pd.isna(p) else int(p), url, bytes(payload), digest, None if pd.isna(r) else int(r))
 
-        system, base = _filesystem(folder)
+        system, base = arrow_store(folder, options)
         system.create_dir(base, recursive=True)
         out, path, n, size = None, "", 0, 0
         for piece, count in encode_archive(records(), TARGET):
@@ -203,12 +200,13 @@ def write_archives(pages: DataFrame, scratch: Scratch, folder: str) -> DataFrame
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of all records of archives (path)."""
+    options = arrow_options(archives.sparkSession, "s3a://")  # of use for such paths only
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, rows = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], []
         for pdf in batches:
             for path in pdf.path:
-                system, name = _filesystem(path)
+                system, name = arrow_store(path, options)
                 with system.open_input_stream(name, compression=None) as stream:
                     for headers, block in read_archive(stream):
                         rows.append(checked_row(headers, block))
