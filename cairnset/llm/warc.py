@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,21 +203,29 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of all records of archives (path)."""
     options = arrow_options(archives.sparkSession, "s3a://")  # of use for such paths only
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, rows = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], []
-        for pdf in batches:
-            for path in pdf.path:
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
                 system, name = arrow_store(path, options)
                 with system.open_input_stream(name, compression=None) as stream:
                     for headers, block in read_archive(stream):
                         rows.append(checked_row(headers, block))
                         if len(rows) >= 5000:
-                            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-                            rows = []
+                            yield flush()
         if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield flush()
 
-    return archives.select("path").repartition(max(1, min(archives.count(), 10_000))).mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("path").repartition(max(1, min(archives.count(), 10_000))).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, scratch: Scratch) -> DataFrame:
