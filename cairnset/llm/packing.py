@@ -155,8 +155,12 @@ def _open(number: int, capacity: int):
 OPENED = 20_000
 
 
-def fit(pieces_: DataFrame, gaps: DataFrame | None, band: tuple[int, int], capacity: int, number: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """One round, the number-th: (places (pid, length, seq, offset), gaps (seq, gap) after it)."""
+#: Pieces and gaps of one range of a sweep, about: rows of five numbers.
+SWEPT = 50_000
+
+
+def fit(pieces_: DataFrame, gaps: DataFrame | None, band: tuple[int, int], capacity: int, number: int, scratch: Scratch, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round, the number-th, in so many ranges: (places (pid, length, seq, offset), gaps (seq, gap) after it)."""
     spark, (lo, hi) = scratch.spark, band
     rows = pieces_.where((F.col("length") > lo) & (F.col("length") <= hi)).select(F.lit(0).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("n"), F.col("length").alias("size"))
     if gaps is not None:
@@ -164,7 +168,7 @@ def fit(pieces_: DataFrame, gaps: DataFrame | None, band: tuple[int, int], capac
         rows = rows.unionAll(gaps.where(F.col("gap") > lo).select(F.lit(1), "seq", n, F.least("gap", F.lit(hi)).cast("long")))
     # pieces come before gaps of their size, which fit them
     by = ["size", "kind", "id"]
-    rows = rows.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
+    rows = rows.repartitionByRange(ranges or partitions(spark), *by).sortWithinPartitions(*by)
     swept = scratch.save(rows.mapInArrow(_sweep, "part int, kind int, id long, n long, size long, i long, c long, d long"), "swept")
     per = swept.groupBy("part").agg(F.count_if(F.col("kind") == 0).alias("i"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)).alias("c"), F.max("d").alias("d"))
     starts, count, places, most = [], 0, 0, _NONE
@@ -204,8 +208,10 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = CAPA
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places, gaps = [], None
     for number, (lo, hi) in enumerate(bands(capacity)):
-        if any(lo < n <= hi for n in counts):
-            placed, gaps = fit(rows, gaps, (lo, hi), capacity, number, scratch)
+        if own := sum(c for n, c in counts.items() if lo < n <= hi):
+            # no more gaps than sequences, which longer pieces have opened
+            opened = min(sum(c for n, c in counts.items() if n > hi), 2 * sum(n * c for n, c in counts.items() if n > hi) // capacity)
+            placed, gaps = fit(rows, gaps, (lo, hi), capacity, number, scratch, 1 + (own + opened) // SWEPT)
             places.append(placed)
     if not places:
         return rows.drop("pid").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
