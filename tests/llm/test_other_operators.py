@@ -12,6 +12,7 @@ import corpus_pipeline
 from cairnset.llm import knn, pq, urls, warc
 from cairnset.llm.common import Scratch
 from cairnset.llm.queries import URL_RULES, oracle_sql, queries
+from cairnset.sources.files import total_bytes
 
 from . import brute
 
@@ -64,6 +65,32 @@ def test_vectors_near(spark, monkeypatch, hot):
     assert near(spark, rows) == brute_vectors(rows, 0.98)
 
 
+def test_vectors_disk(spark, monkeypatch):
+    """Vectors that probe many lists: tables, files and shuffles together stay under six times the vectors, and every link is found."""
+    monkeypatch.setattr(pq, "delete", lambda *_: None, raising=False)
+    monkeypatch.setattr(Scratch, "keep", lambda *_: None)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 64)).astype("float32")
+    for a, b, noise in zip(range(0, 600), range(3000, 3600), r.choice([0, 0.1, 0.19, 0.21], 600)):
+        x[b] = x[a] + r.normal(size=64) * noise
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, VECTORS).localCheckpoint()
+
+    def shuffled():
+        jvm = spark.sparkContext._jvm
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, scratch = shuffled(), Scratch(spark, "disk")
+    got = {i.vec_id: (i.n_links, i.component_id) for i in pq.near_duplicates(frame, scratch).collect()}
+    written = total_bytes(spark, scratch.root)
+    assert written + shuffled() - before < 6 * x.nbytes
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.98, 1) & (np.arange(6000)[:, None] % 3 == np.arange(6000) % 3))
+    counts, found = np.bincount(np.concatenate([a, b]), minlength=6000), brute.components(range(6000), list(zip(a.tolist(), b.tolist())))
+    assert counts.sum() > 600 and got == {i: (counts[i], found[i]) for i in range(6000)}
+
+
 def test_vectors_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     one = [1.0, 0.0]
