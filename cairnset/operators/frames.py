@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..schema import DatasetSchema, Field, loose
@@ -54,6 +55,21 @@ def violations(df: DataFrame, schema: DatasetSchema) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.col(str(i)).alias("nulls")) for i, (p, _) in enumerate(places)))).alias("x")).select("x.path", "x.nulls")
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value).cast("long"), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + 8 + _bytes(x, kind.elementType)), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, about."""
+    return sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0).cast("long"))
+
+
 def enforce(df: DataFrame, schema: DatasetSchema) -> DataFrame:
     """df, whose evaluation fails at a null that the schema forbids. No pass of its own."""
     checked = {}

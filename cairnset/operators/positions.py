@@ -3,18 +3,23 @@
 A window over a whole split would put it into one task. Instead rows are range-partitioned by (split, keys), sorted in
 their partitions and written; a row's position is its place in its partition plus the rows of its split in the
 partitions before, which is a table of one row per partition and split.
+
+Rows with long values are dealt by bytes, not by their number: their keys and sizes are put in order first, and the keys at
+which another TASK_BYTES begin cut the rows into partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 
 _PLACE = (1 << 33) - 1  # monotonically_increasing_id: the partition above bit 33, the row in it below
+#: Bytes of the rows that a task gets where they are dealt by bytes, about; a row is never cut, so a task has that and one row at most.
+TASK_BYTES = 64 << 20
 
 
 def key_ordered(df: DataFrame, split: str, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -42,6 +47,33 @@ def numbered(placed: DataFrame, split: str, index: str = "_idx") -> DataFrame:
     return placed.join(s, (F.col(split) == F.col("_split")) & (F.col("_part") == F.col("_p"))).withColumn(index, F.col("_place") + F.col("_shift")).drop("_split", "_p", "_shift", "_part", "_place")
 
 
+def cuts(placed: DataFrame, split: str, keys: Sequence[str], weight: Column, task: int, may: Column | None = None) -> list[Row]:
+    """Keys at which rows are cut into runs that weigh `task` and a row at most; a row for each run but the first comes to the driver.
+
+    placed: keys and sizes, already written. may: whether a run may begin at the row; runs then end at the next such row.
+    """
+    by = [split, *keys]
+    p = placed.select(*by, "_part", "_place", weight.cast("long").alias("_w"), (F.lit(True) if may is None else may).alias("_may"), F.lit(0).alias("_all"))
+    within = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("_within", F.coalesce(F.sum("_w").over(within), F.lit(0)))
+    p = p.where("_may").join(starts(p.drop("_within"), "_all", ["_w"]), F.col("_part") == F.col("_p"))
+    run = F.floor((F.col("_within") + F.col("before__w")) / F.lit(task))
+    firsts = p.groupBy(run.alias("_run")).agg(F.min(F.struct(*by)).alias("_first")).where("_run > 0")
+    return [r[0] for r in firsts.orderBy("_run").select("_first").collect()]
+
+
+def dealt(df: DataFrame, split: str, keys: Sequence[str], cut: Sequence[Row]) -> DataFrame:
+    """Rows sorted by (split, keys) in partitions that begin at the keys of cuts(), in order. Each row finds its own by bisection."""
+    by = [split, *keys]
+    part = F.lit(0)
+    if cut:
+        literals = F.array(*(F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(by, row))) for row in cut))
+        own = F.struct(*by)
+        halves = F.array(*(F.lit(1 << i) for i in reversed(range(len(cut).bit_length()))))
+        part = F.aggregate(halves, part, lambda at, step: F.when(F.get(literals, at + step - 1) <= own, at + step).otherwise(at))
+    return df.repartitionById(len(cut) + 1, part).sortWithinPartitions(*by)
+
+
 def with_position(df: DataFrame, split: str, keys: Sequence[str], scratch: Scratch, index: str = "_idx", partitions: int | None = None) -> DataFrame:
     """df with each row's position in its split, from 0, in key order."""
     return numbered(scratch.save(with_place(key_ordered(df, split, keys, partitions)), "placed"), split, index)

@@ -7,7 +7,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from ..sources import files
 
 SPLIT = "split"
 INDEX = "_idx"
-#: Rows of an index partition, about: pointers and small values, so files of a few hundred MB at most.
+#: Rows of a task at most, about; positions.TASK_BYTES bounds their bytes. Also rows of a partition of keys and sizes.
 ROWS_PER_PARTITION = 1_000_000
 
 
@@ -65,12 +65,14 @@ def persist(
     blob_rows: int | None = 50,
     blob_bytes: int | None = None,
     rows_per_partition: int = ROWS_PER_PARTITION,
+    bytes_per_partition: int = positions.TASK_BYTES,
     spark: SparkSession | None = None,
 ) -> dict[str, int]:
     """Write a version of a dataset; rows per split.
 
     source: a DataFrame with the schema's columns and `split`, or (split, dict) rows. mode: error or overwrite, if
     the version exists. Nothing of the version is visible before its keys are checked and its rows are written.
+    A task gets rows_per_partition rows and bytes_per_partition bytes at most, and one row.
     """
     if mode not in ("error", "overwrite"):
         raise ValueError(f"mode is error or overwrite, not {mode!r}")
@@ -82,13 +84,17 @@ def persist(
         df = df.withColumnRenamed(split, SPLIT)
     df = frames.enforce(frames.conform(df, schema, (SPLIT,)), schema)
     keys = [SPLIT, *schema.primary_keys]
-    total, most = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.max("_n")).first()  # one pass over the keys
-    if most and most > 1:  # before blobs are written
-        refuse_repeated(df, keys)
 
     attempt = f"{layout.temporary(id)}/persist-{uuid.uuid4().hex}"
     try:
-        counts = _write(df, schema, layout, id, attempt, blob_rows, blob_bytes, max(1, (total or 0) // rows_per_partition))
+        sized = _written(df.select(*keys, frames.row_bytes(df).alias("_bytes")), f"{attempt}/sized")
+        total, most = sized.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+        if most and most > 1:  # before blobs are written
+            refuse_repeated(sized, keys)
+        placed = positions.with_place(positions.key_ordered(sized, SPLIT, schema.primary_keys, (total or 0) // ROWS_PER_PARTITION + 1))
+        share = -(-bytes_per_partition // rows_per_partition)  # so that no task gets more than rows_per_partition rows
+        cut = positions.cuts(_written(placed, f"{attempt}/keys"), SPLIT, schema.primary_keys, F.col("_bytes") + share, bytes_per_partition)
+        counts = _write(df, schema, layout, id, attempt, blob_rows, blob_bytes, cut)
         if files.exists(spark, layout.dataset(id)):
             files.delete(spark, layout.success(id))
             for old in files.children(spark, layout.dataset(id)):
@@ -119,14 +125,16 @@ class SparkPersistor(Persistor):
         return persist(source, id, schema, layout, spark=self.spark, **options)
 
 
-def _write(df: DataFrame, schema: DatasetSchema, layout: Layout, id: DatasetID, attempt: str, blob_rows: int | None, blob_bytes: int | None, partitions: int) -> dict[str, int]:
-    spark = df.sparkSession
-    ordered = positions.key_ordered(df, SPLIT, schema.primary_keys, partitions)
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, schema: DatasetSchema, layout: Layout, id: DatasetID, attempt: str, blob_rows: int | None, blob_bytes: int | None, cut: list[Row]) -> dict[str, int]:
+    ordered = positions.dealt(df, SPLIT, schema.primary_keys, cut)
     if schema.blob_columns:  # each value is read once, here, and only its pointer goes on
         ordered = blobs.write_blobs(ordered, schema.blob_columns, layout.blobs(id.name), SPLIT, blob_rows, blob_bytes)
-    placed = positions.with_place(ordered)
-    placed.write.parquet(f"{attempt}/placed")
-    placed = spark.read.schema(placed.schema).parquet(f"{attempt}/placed")
+    placed = _written(positions.with_place(ordered), f"{attempt}/placed")
     refuse_repeated(placed, [SPLIT, *schema.primary_keys])  # again, on what was written: the source may give other rows each time
     counts = {check_split(r[SPLIT]): r.n for r in split_counts(placed).orderBy(SPLIT).collect()}  # a row for each split
     indexed = positions.numbered(placed, SPLIT, INDEX)
