@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, keys, pointers
@@ -241,14 +241,19 @@ def blob_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     'from w join d on d.lang = w.lang and d.n = w.n + 1) select lang, doc_id, size, file_no, "offset" from w'
 )
 def blob_layout_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that are closed once they have 100,000 bytes, as the blob writer closes them; one writer a language."""
-    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", F.col("text").cast("binary").alias("body"))
-    scratch = Scratch(spark, "bytes")
-    ordered = rows.repartition("lang").sortWithinPartitions("lang", "doc_id")  # one writer a split, as this layout is sequential
-    written = scratch.save(blobs.write_blobs(ordered, ["body"], scratch.path("blobs"), "lang", None, 100_000), "pointers")
-    p = written.select("lang", "doc_id", pointers.unpack(F.col("body")).alias("p"))
-    firsts = p.groupBy("lang", "p.file_id").agg(F.min("doc_id").alias("_first"))
-    firsts = firsts.withColumn("file_no", (F.row_number().over(Window.partitionBy("lang").orderBy("_first")) - 1).cast("long")).select(F.col("lang").alias("_l"), F.col("file_id").alias("_f"), "file_no")
+    """Files that are closed once they have 100,000 bytes, as the blob writer closes them when one writes a language; tasks begin where a file does."""
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("body"))
+    scratch, by = Scratch(spark, "bytes"), ["doc_id", "size"]  # by size too, so that rows of a key are in the same order each time
+    sizes = scratch.save(rows.drop("body"), "sizes")
+    placed = scratch.save(positions.with_place(positions.key_ordered(sizes, "lang", by, sizes.count() // P.ROWS_PER_PARTITION + 1)), "placed")
+    laid = scratch.save(positions.rolled(placed, "lang", "size", 100_000), "layout")
+    cut = positions.cuts(laid, "lang", by, F.coalesce("size", F.lit(0)) + positions.ROW_BYTES, positions.TASK_BYTES, F.col("_first"))
+    scratch.drop(sizes, placed, laid)
+    ordered = positions.dealt(rows, "lang", by, cut).drop("size")
+    written = blobs.write_blobs(ordered, ["body"], scratch.path("blobs"), "lang", None, 100_000).withColumn("_at", F.monotonically_increasing_id())
+    p = scratch.save(written, "pointers").select("lang", "doc_id", "_at", pointers.unpack(F.col("body")).alias("p"))
+    firsts = p.groupBy(F.col("lang").alias("_l"), F.col("p.file_id").alias("_f")).agg(F.min("_at").alias("_at"))
+    firsts = positions.with_position(firsts, "_l", ["_at"], scratch, "file_no").drop("_at")
     out = p.join(firsts, (F.col("lang") == F.col("_l")) & (F.col("p.file_id") == F.col("_f")))
     return out.select("lang", "doc_id", F.col("p.size").alias("size"), "file_no", F.col("p.offset").alias("offset"))
 

@@ -1,12 +1,17 @@
 """Rows with long values are dealt to tasks by bytes."""
 
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairnset import BytesField, Dataset, DatasetID, DatasetSchema, Layout, LongField, StringField, persist, queries
-from cairnset.operators import frames
+from cairnset.functions import pointers
+from cairnset.operators import frames, positions
+from cairnset.plans import persist as persist_module
+from cairnset.plans.scratch import Scratch
 
 MB = 1 << 20
 
@@ -53,3 +58,50 @@ def test_partitions_by_rows_and_bytes(spark, tmp_path, rows, size):
 def test_row_bytes(spark):
     df = spark.createDataFrame([("ab☃", bytearray(7), [["x", None], None], (3, "yz")), (None, None, None, None)], "s string, b binary, a array<array<string>>, r struct<n:int,t:string>")
     assert [r[0] for r in df.select(frames.row_bytes(df)).collect()] == [5 + 7 + (8 + 16 + 1 + 8) + 8 + 2, 8]
+
+
+def laid_out(texts, limit=100_000):
+    """(file_no, offset) of each text, as one writer lays them out."""
+    file_no = offset = 0
+    for text in texts:
+        yield file_no, offset
+        offset += len(text)
+        if offset >= limit:
+            file_no, offset = file_no + 1, 0
+
+
+def test_blob_layout_bytes_of_many_tasks_is_that_of_one_writer(spark, tmp_path, monkeypatch):
+    """Empty and long texts, many rows of a key, files over several partitions; no task writes much more than its share."""
+    r, rows, tables = random.Random(5), [], []
+    for lang, n in (("de", 400), ("en", 1500), ("fr", 1)):
+        rows += [(lang, i // 40 if i < 200 else i, "x" * r.choice([0, 0, 1, 900, 30_000, r.randrange(60_000), 150_000 * (r.random() < 0.05)])) for i in range(n)]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "lang string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: tables.append((name, save(self, df, name))) or tables[-1][1])
+    monkeypatch.setattr(positions, "TASK_BYTES", MB, raising=False)
+    monkeypatch.setattr(persist_module, "ROWS_PER_PARTITION", 150)  # of keys and sizes
+    found = queries.blob_layout_bytes(spark, str(tmp_path)).select("lang", "doc_id", "size", "file_no", "offset").collect()
+    want = []
+    for lang in ("de", "en", "fr"):
+        own = sorted(((i, len(text), text) for x, i, text in rows if x == lang), key=lambda x: x[:2])
+        want += [(lang, i, size, *at) for (i, size, _), at in zip(own, laid_out(text for _, _, text in own))]
+    assert sorted(map(tuple, found)) == sorted(want)
+    written = next(t for name, t in tables if name == "pointers").groupBy(F.input_file_name()).agg(F.sum(pointers.unpack(F.col("body"))["size"])).collect()
+    assert max(x[1] for x in written) < 1.5 * MB
+
+
+def test_passages_and_files_of_any_cut():
+    r = random.Random(1)
+    for _ in range(500):
+        limit, sizes = r.choice([1, 3, 10, 50]), [r.choice([0, 0, 1, 2, 5, r.randrange(80)]) for _ in range(r.randint(1, 60))]
+        ends = sorted({0, len(sizes), *(r.randrange(len(sizes)) for _ in range(r.randrange(6)))})
+        opened, closed, found = -1, 0, []
+        for a, b in zip(ends, ends[1:]):
+            part = np.array(sizes[a:b], np.int64)
+            file_no, offset, _ = positions._files(part, limit, opened, closed)
+            found += zip(file_no.tolist(), offset.tolist())
+            total, at, closes, opens = positions._passages(part, limit)
+            k = int(np.searchsorted(at, limit - max(opened, 0)))
+            opened, closed = (int(opens[k]), closed + int(closes[k])) if k < len(at) else (max(opened, 0) + total, closed)
+        assert found == list(laid_out(["x" * n for n in sizes], limit))
