@@ -43,6 +43,13 @@ def test_pointer_columns_of_long_texts(spark, long_texts, documents):
     assert most_in_a_file(spark, long_texts) <= 68 * MB
 
 
+def test_blob_raw_of_long_texts(spark, long_texts, documents):
+    """Reads what the other query wrote, or writes it."""
+    found = {tuple(r) for r in queries.blob_raw(spark, long_texts).collect()}
+    assert found == {tuple(r) for r in documents.select("doc_id", F.md5("text")).collect()}
+    assert most_in_a_file(spark, long_texts) <= 68 * MB
+
+
 @pytest.mark.parametrize("rows, size", [(None, 1000), (7, 1 << 30), (7, 1)])
 def test_partitions_by_rows_and_bytes(spark, tmp_path, rows, size):
     """Keys of several types, nulls and empty values; positions stay those of the order."""
